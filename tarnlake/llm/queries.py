@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import common, decontaminate, packing, simhash, warc
+from tarnlake.llm import common, decontaminate, langid, maxent_lm, neardup_vectors, packing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -36,7 +48,23 @@ def op9_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, out, with_payload=False).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_simhash_multi_index, op7_benchmark_decontamination, op9_warc_writer)}
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_pu_quality,
+        op3_metric_range_join,
+        op4_simhash_multi_index,
+        op5_rank_order_langid,
+        op7_benchmark_decontamination,
+        op9_warc_writer,
+        op10_maxent_lm,
+    )
+}
 
 ORACLE_SQL = {
     "op9_warc_writer": """
