@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import common, decontaminate, langid, maxent_lm, neardup_vectors, packing, quality, simhash, warc
+from tarnlake.llm import common, decontaminate, langid, maxent_lm, neardup_vectors, packing, quality, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op6_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -60,6 +64,7 @@ QUERIES = {
         op3_metric_range_join,
         op4_simhash_multi_index,
         op5_rank_order_langid,
+        op6_prefix_doubling_dedup,
         op7_benchmark_decontamination,
         op9_warc_writer,
         op10_maxent_lm,
