@@ -104,3 +104,129 @@ def simhash_groups(docs: DataFrame, size: int = 3, most_bits: int = MOST_BITS) -
     found = components(fingerprint_links(named, most_bits))
     of = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Of near_duplicates: bits within which texts are compared, words in a shingle, least similarity, hashes in a sketch.
+CANDIDATE_BITS, SHINGLE, LEAST_SIMILARITY, SKETCH = 5, 5, 0.8, 256
+_HALF = (1 << 32) - 1
+
+
+def word_set_fingerprint(text: bytes) -> int:
+    """SimHash of the distinct words: an edited word moves it less than it moves that of shingles."""
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], np.uint64)
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        ones += np.unpackbits(hashes[at : at + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def sketch(text: bytes, size: int = SHINGLE, most: int = SKETCH) -> np.ndarray:
+    """The smallest distinct shingle hashes: all of them, unless there are more than ``most``."""
+    found = np.zeros(0, np.uint64)
+    for hashes in shingle_hashes(text, size):
+        found = np.unique(np.concatenate((found, hashes)))[:most]
+    return found
+
+
+def similarity(a: np.ndarray, b: np.ndarray, most: int = SKETCH) -> float:
+    """Jaccard similarity of two shingle sets; from the ``most`` smallest hashes of the union if they are larger."""
+    both = np.union1d(a, b)[:most]
+    return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum() / len(both)) if len(both) else 1.0
+
+
+def _bucket_edges(batches):
+    """Edges within buckets: from each text to its nearest one before it and to the nearest of all, within CANDIDATE_BITS."""
+
+    def flush(rows):
+        keys, fps, reps = (np.concatenate(x) for x in zip(*rows, strict=True))
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        size = np.diff(np.append(first, len(keys)))
+        us, vs = [], []
+        for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
+            fp, rep = fps[a : a + n], reps[a : a + n]
+            order = np.argsort(rep)
+            fp, rep = fp[order], rep[order]
+            for at in range(0, n, 512):
+                far = np.bitwise_count(fp[at : at + 512, None] ^ fp[None, :]).astype(np.int16)
+                row = np.arange(len(far))
+                far[row, row + at] = 99
+                before = np.where(np.arange(n)[None, :] < (row + at)[:, None], far, 99)
+                for d in (far, before):
+                    near = d.argmin(axis=1)
+                    good = d[row, near] <= CANDIDATE_BITS
+                    us.append(rep[at : at + 512][good])
+                    vs.append(rep[near[good]])
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["u", "v"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = [np.stack([batch.column(x).to_numpy() for x in ("seg", "key")], axis=1), batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()]
+        if held and (held[-1][0][-1] != part[0][0]).any():
+            yield flush(held)
+            held = []
+        cut = int(np.flatnonzero((part[0] != part[0][-1]).any(axis=1))[-1]) + 1 if (part[0] != part[0][-1]).any() else 0
+        if cut:  # what is left may go on in the next batch
+            held.append(tuple(x[:cut] for x in part))
+            yield flush(held)
+            held = []
+        held.append(tuple(x[cut:] for x in part))
+    if held:
+        yield flush(held)
+
+
+def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """``(doc_id, kept_id)``: the smallest id of the group of each document that has one, exact and near copies.
+
+    Texts are compared whose word-set fingerprints differ in at most five bits:
+    then one half differs in at most two, so balls of radius one around both
+    halves meet in a bucket. A bucket gives each text's nearest partners, not
+    all pairs; those whose five-word shingles are similar enough are linked.
+    Equal texts are one row before that. Null texts count as empty; empty texts are copies
+    of each other. Rows without doc_id are left out.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = rows.select("doc_id", F.sha2("text", 256).alias("same"), "text")
+    copies = stage(keyed.select("doc_id", "same"), "copies")
+    reps = stage(copies.groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
+    firsts = reps.select(F.col("rep").alias("doc_id")).distinct()
+
+    def describe(batches):
+        for batch in pieces(batches):
+            found = texts_of(batch, "text")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([word_set_fingerprint(x) for x in found], pa.int64()), pa.array([sketch(x).tobytes() for x in found], pa.binary())], ["rep", "fp", "sketch"]
+            )
+
+    # a doc_id with several texts is one node, described by one of them
+    described = rows.join(firsts, "doc_id").mapInArrow(describe, "rep long, fp long, sketch binary")
+    described = stage(described, "described")
+    nodes = described.groupBy("rep").agg(F.min("fp").alias("fp"))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    spread = nodes.select("rep", "fp", F.inline(_segments(F.col("fp")))).select("rep", "fp", "seg", F.explode(F.concat(F.array("key"), flips)).alias("key"))
+    edges = spread.repartition("seg", "key").sortWithinPartitions("seg", "key").mapInArrow(_bucket_edges, "u long, v long").distinct()
+    one, two = (described.groupBy(F.col("rep").alias(k)).agg(F.min("sketch").alias(f"sketch_{k}")) for k in ("u", "v"))
+
+    def verify(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in ("sketch_u", "sketch_v"))
+            yield batch.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    links = edges.join(one, "u").join(two, "v").mapInArrow(verify, "u long, v long")
+    groups = components(links)
+    found = reps.join(groups, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("kept_id"))
+    return copies.join(found, "same").select("doc_id", "kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """One row of each group of near copies, all columns: the one with the smallest doc_id.
+
+    Rows that share a doc_id stay or go together; rows without doc_id stay.
+    """
+    gone = near_duplicates(docs, least).where("doc_id <> kept_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tarnlake.llm import queries
@@ -101,5 +103,23 @@ def test_many_alike_take_no_time():
 def test_encoder_forgets_and_still_agrees(monkeypatch):
     monkeypatch.setattr("tarnlake.llm.packing.REMEMBERED", 3)
     encoder = Encoder(queries.tokenizer_path())
-    texts = ["It's  a test, isn't IT?", "ΣΑΣ Σ's ab́c 12 <|endoftext|>", "a b c d e f", "\x1cx\x1dy", "a a b"]
-    assert [encoder(x) for x in texts] == encoder.whole(texts)
+    texts = ["It's  a test, isn't IT?", "ΣΑΣ Σ's ab́c 12 <|endoftext|>", "a b c d e f", "\x1cx\x1dy", "a a b", "İx ŉ é e\u0301 \xa0x\u2003y", "", " ", "x" * 500, "we'll've'd 1½² _a_ a1b2", "日本 語 🙂!"]
+    assert encoder(texts) == encoder.whole(texts)
+    assert [encoder([x])[0] for x in texts] == encoder.whole(texts)
+
+
+@given(st.lists(st.text(max_size=12), max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_encoder_agrees_on_any_text(texts):
+    if not ENCODER:
+        ENCODER.append(Encoder(queries.tokenizer_path()))
+    assert ENCODER[0](texts) == ENCODER[0].whole(texts)
+
+
+@given(st.text("aehinortTHE'.s -é", max_size=200))
+@settings(max_examples=300, deadline=None)
+def test_encoder_agrees_on_like_words(text):
+    test_encoder_agrees_on_any_text.hypothesis.inner_test([text])
+
+
+ENCODER: list[Encoder] = []
