@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import common, decontaminate, langid, maxent_lm, neardup_vectors, packing, quality, simhash, substrings, warc
+from tarnlake.llm import chat, common, decontaminate, langid, maxent_lm, neardup_vectors, packing, quality, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.summary(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op8_hmm_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.new_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), out)
@@ -66,6 +70,7 @@ QUERIES = {
         op5_rank_order_langid,
         op6_prefix_doubling_dedup,
         op7_benchmark_decontamination,
+        op8_hmm_chat,
         op9_warc_writer,
         op10_maxent_lm,
     )

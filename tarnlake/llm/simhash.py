@@ -123,10 +123,11 @@ def word_set_fingerprint(text: bytes) -> int:
 
 
 def sketch(text: bytes, size: int = SHINGLE, most: int = SKETCH) -> np.ndarray:
-    """The smallest distinct shingle hashes: all of them, unless there are more than ``most``."""
-    found = np.zeros(0, np.uint64)
+    """The smallest distinct shingle hashes, in 32 bits: all of them, unless there are more than ``most``."""
+    found = np.zeros(0, np.uint32)
     for hashes in shingle_hashes(text, size):
-        found = np.unique(np.concatenate((found, hashes)))[:most]
+        both = np.sort(np.concatenate((found, (hashes >> np.uint64(32)).astype(np.uint32))))
+        found = both[np.append(True, both[1:] != both[:-1])][:most]
     return found
 
 
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
 
     def verify(batches):
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in ("sketch_u", "sketch_v"))
+            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(k).to_pylist()] for k in ("sketch_u", "sketch_v"))
             yield batch.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
 
     links = edges.join(one, "u").join(two, "v").mapInArrow(verify, "u long, v long")
