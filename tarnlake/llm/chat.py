@@ -2,7 +2,8 @@
 
 A transcript is plain text, in which turns begin with a speaker's marker, in
 one of many styles, or only with an empty line. A hidden Markov model reads it
-line by line. Its states are a role that begins a turn or goes on with it; a
+line by line. Its states are a role that begins a turn or goes on with it, in a
+transcript with markers or without; a
 line's observation is its kind of marker, whether an empty line or nothing
 stands before it, its length and how it ends. Starts, transitions and emissions
 are smoothed counts over transcripts whose roles are known; the roles of others
@@ -43,8 +44,9 @@ STYLES = (
 )
 _KIND = {name: k + 1 for k, role in enumerate(ROLES) for name in SPEAKERS[role]}
 _MARKER = re.compile(r"\s*(?:#{1,6}\s*|\*{1,2}|[<\[](?=[a-z]+[>\]]))?([a-z]{1,12})(?:\*{0,2}:\*{0,2}|[>\]]:?)(?:\s|$)", re.IGNORECASE)
-#: A state is 2 * role, and one more if the line goes on with a turn.
-STATES = 2 * len(ROLES)
+#: A state is 2 * role, and one more if the line goes on with a turn; and GROUP more in transcripts without markers.
+GROUP = 2 * len(ROLES)
+STATES = 2 * GROUP
 SYMBOLS = (len(ROLES) + 1) * 3 * 4 * 2
 SMOOTH = 0.5
 
@@ -78,8 +80,8 @@ class Model:
 
     @classmethod
     def of_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
-        # no turn goes on before it began, nor in another role
-        allowed = np.array([[b % 2 == 0 or b - 1 == a - a % 2 for b in range(STATES)] for a in range(STATES)])
+        # no turn goes on before it began, nor in another role; a transcript has markers or has none
+        allowed = np.array([[a // GROUP == b // GROUP and (b % 2 == 0 or b - 1 == a - a % 2) for b in range(STATES)] for a in range(STATES)])
         logs = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
         start = np.where(np.arange(STATES) % 2 == 0, start + SMOOTH, 1e-12)
         return cls(logs(start), np.where(allowed, logs(move + SMOOTH), -1e9), logs(emit + SMOOTH / SYMBOLS))
@@ -108,7 +110,7 @@ def parse(transcript: str, model: Model) -> list[tuple[str, str]]:
     for (i, _), state in zip(seen, model.decode([s for _, s in seen]), strict=True):
         if state % 2 == 0 or not turns:
             at = marker(lines[i])[1]
-            turns.append((ROLES[state // 2], [lines[i][at:]] if lines[i][at:].strip() else []))
+            turns.append((ROLES[state % GROUP // 2], [lines[i][at:]] if lines[i][at:].strip() else []))
         else:
             own = turns[-1][1]
             own += [""] * (i - last - 1 if own else 0)
@@ -122,8 +124,8 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text.replace('<|', '<\\|')}\n<|end|>\n"
 
 
-def write_transcript(turns: list[tuple[str | None, str | None]], style: int) -> tuple[str, list[int]]:
-    """A transcript in a style and the state of each line that is not empty. Turns of other roles have no marker."""
+def write_transcript(turns: list[tuple[str | None, str | None]], style: int, apart: bool = True) -> tuple[str, list[int]]:
+    """A transcript in a style and the state of each line that is not empty. Turns of other roles have no marker; ``apart``: by empty lines."""
     lines: list[str] = []
     states: list[int] = []
     for role, text in turns:
@@ -134,8 +136,8 @@ def write_transcript(turns: list[tuple[str | None, str | None]], style: int) ->
         full = [x for x in own if x.strip()]
         if not full:
             continue
-        states += [2 * (1 if k is None else k) + (j > 0) for j in range(len(full))]
-        lines += ([""] if lines else []) + own
+        states += [GROUP * (style == len(STYLES) - 1) + 2 * (1 if k is None else k) + (j > 0) for j in range(len(full))]
+        lines += ([""] if lines and apart else []) + own
     return "\n".join(lines), states
 
 
@@ -173,8 +175,11 @@ def learn(conversations: DataFrame, held_out: int = 0) -> Model:
         counts = np.zeros((1 + STATES, max(STATES, SYMBOLS)), np.int64)
         emit = np.zeros((STATES, SYMBOLS), np.int64)
         for _, turns in _stretches(batches):
-            for style in range(len(STYLES)):
-                text, states = write_transcript(turns, style)
+            loose = [(role, (text or "").replace("\n", "\n\n")) for role, text in turns]
+            # with markers, an empty line may also stand within a turn, or none between turns
+            marked = range(len(STYLES) - 1)
+            for style, given, apart in [(i, turns, True) for i in range(len(STYLES))] + [(i, loose, True) for i in marked] + [(i, turns, False) for i in marked]:
+                text, states = write_transcript(given, style, apart)
                 symbols = [s for _, s in observe(text.split("\n"))]
                 if not states:
                     continue
