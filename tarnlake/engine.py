@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tarnlake.errors import DialectError
+from tarnlake.operators.statistics import table_statistics
 from tarnlake.plans.analyzer import Bound, analyze
+from tarnlake.plans.estimate import Estimator, Statistics
 from tarnlake.plans.explain import explain, explain_analyze
 from tarnlake.plans.lowering import lower
 from tarnlake.plans.parser import parse
@@ -42,6 +44,7 @@ class Engine:
         self.catalog, self.options = catalog, options or Options()
         self._results: OrderedDict[tuple[str, Options], DataFrame] = OrderedDict()
         self._columnar: dict[str, DataFrame] = {}
+        self._statistics: dict[str, Statistics] = {}
         self.hits = 0
 
     def table(self, name: str) -> DataFrame:
@@ -71,9 +74,17 @@ class Engine:
             self._results.popitem(last=False)[1].unpersist()
         return found
 
-    def explain(self, sql: str) -> str:
+    def statistics(self, name: str) -> Statistics:
+        """Statistics of a table, computed once, with sketches of distinct values."""
+        if name not in self._statistics:
+            self._statistics[name] = table_statistics(self.table(name), exact=False)
+        return self._statistics[name]
+
+    def explain(self, sql: str, estimates: bool = False) -> str:
+        """Plans as text. ``estimates`` adds rows, for which tables without statistics are scanned once."""
         bound = self.bind(sql)
-        return explain(bound, lower(bound, self.table))
+        guess = Estimator(bound, [self.statistics(r.table) for r in bound.relations]).run() if estimates else None
+        return explain(bound, lower(bound, self.table), guess)
 
     def explain_analyze(self, sql: str) -> tuple[list, str]:
         began = time.perf_counter()

@@ -9,35 +9,37 @@ from pyspark.sql import DataFrame
 
 from tarnlake.plans.analyzer import Bound
 from tarnlake.plans.ast import show
+from tarnlake.plans.estimate import Estimates
 
 
-def dialect_plan(b: Bound) -> str:
-    """The operators of a statement, the last to run first."""
+def dialect_plan(b: Bound, guess: Estimates | None = None) -> str:
+    """The operators of a statement, the last to run first, with estimated rows if given."""
+    est = lambda x: "" if guess is None or x is None else f"  est={x:.0f}"
     lines = []
     if b.limit is not None:
-        lines.append(f"Limit({b.limit})")
+        lines.append(f"Limit({b.limit}){est(guess and guess.result)}")
     if b.distinct:
         lines.append("Distinct")
     lines.append(f"Project({', '.join(b.names)})")
     if b.order_by:
         lines.append(f"Sort({', '.join(show(o.expr) + (' DESC' if o.descending else ' ASC') for o in b.order_by)})")
     if b.having:
-        lines.append(f"Filter({show(b.having)}) [having]")
+        lines.append(f"Filter({show(b.having)}) [having]{est(guess and guess.having)}")
     if b.grouped:
-        lines.append(f"Aggregate(keys=[{', '.join(map(show, b.keys))}], values=[{', '.join(map(show, b.aggregates()))}])")
+        lines.append(f"Aggregate(keys=[{', '.join(map(show, b.keys))}], values=[{', '.join(map(show, b.aggregates()))}]){est(guess and guess.aggregate)}")
     if b.where:
-        lines.append(f"Filter({show(b.where)})")
+        lines.append(f"Filter({show(b.where)}){est(guess and guess.filter)}")
     if b.join:
-        lines.append(f"Join({show(b.join[0])} = {show(b.join[1])})")
-    scans = [f"Scan({r.table}{f' AS {r.alias}' if r.alias else ''}: {', '.join(sorted({x.name for x in b.refs() if x.slot == i})) or 'no columns'})" for i, r in enumerate(b.relations)]
+        lines.append(f"Join({show(b.join[0])} = {show(b.join[1])}){est(guess and guess.join)}")
+    scans = [f"Scan({r.table}{f' AS {r.alias}' if r.alias else ''}: {', '.join(sorted({x.name for x in b.refs() if x.slot == i})) or 'no columns'}){est(guess and guess.scans[i])}" for i, r in enumerate(b.relations)]
     out = [f"{'  ' * depth}{line}" for depth, line in enumerate(lines)]
     return "\n".join(out + [f"{'  ' * len(lines)}{s}" for s in scans])
 
 
-def explain(b: Bound, df: DataFrame) -> str:
+def explain(b: Bound, df: DataFrame, guess: Estimates | None = None) -> str:
     """The dialect's plan, Catalyst's optimized plan and the physical plan; nothing runs."""
     q = df._jdf.queryExecution()
-    sections = (("Logical plan", dialect_plan(b)), ("Optimized plan", q.optimizedPlan().toString()), ("Physical plan", q.executedPlan().toString()))
+    sections = (("Logical plan", dialect_plan(b, guess)), ("Optimized plan", q.optimizedPlan().toString()), ("Physical plan", q.executedPlan().toString()))
     return "\n".join(f"== {title} ==\n{text.rstrip()}\n" for title, text in sections)
 
 
