@@ -88,6 +88,22 @@ ORACLE_SQL = {
         n AS (SELECT u AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
         SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
     """,
+    "op6_prefix_doubling_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        e AS (SELECT doc_id, least(128, len(x) // 2 - 49 - i) AS n, i, substr(x, 2 * i + 1, 354) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49, 128)) AS i FROM d)),
+        w AS (SELECT doc_id, i + j AS i, substr(y, 2 * j + 1, 100) AS s FROM (SELECT doc_id, i, y, unnest(range(0, n)) AS j FROM e)),
+        m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+        r AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE doc_id > least),
+        g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true)::INT AS fresh FROM r),
+        k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+        a AS (SELECT doc_id, k, min(i) AS low, max(i) + 50 AS high FROM k GROUP BY 1, 2),
+        b AS (SELECT doc_id, k, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM a),
+        c AS (SELECT doc_id, count(*) AS n_spans, sum(high - low) AS n_removed, max(high) AS last,
+                     string_agg(substr(x, 2 * before + 1, 2 * (low - before)), '' ORDER BY k) AS head FROM b JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN last IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id)
+    """,
     "op7_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
