@@ -12,6 +12,8 @@ fingerprint.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -106,8 +108,8 @@ def simhash_groups(docs: DataFrame, size: int = 3, most_bits: int = MOST_BITS) -
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of near_duplicates: bits within which texts are compared, words in a shingle, least similarity, hashes in a sketch.
-CANDIDATE_BITS, SHINGLE, LEAST_SIMILARITY, SKETCH = 5, 5, 0.8, 256
+#: Of near_duplicates: bits within which texts that meet are compared, words in a shingle, least similarity, hashes in a sketch.
+CANDIDATE_BITS, SHINGLE, LEAST_SIMILARITY, SKETCH = 10, 5, 0.8, 256
 _HALF = (1 << 32) - 1
 
 
@@ -184,44 +186,39 @@ def _bucket_edges(batches):
 def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """``(doc_id, kept_id)``: the smallest id of the group of each document that has one, exact and near copies.
 
-    Texts are compared whose word-set fingerprints differ in at most five bits:
-    then one half differs in at most two, so balls of radius one around both
-    halves meet in a bucket. A bucket gives each text's nearest partners, not
+    Balls of radius one around both halves of a word-set fingerprint meet in a
+    bucket if the halves differ in at most two bits, so texts are compared if
+    five bits or fewer differ in all, and up to ten where they meet. A bucket gives each text's nearest partners, not
     all pairs; those whose five-word shingles are similar enough are linked.
-    Equal texts are one row before that. Null texts count as empty; empty texts are copies
-    of each other. Rows without doc_id are left out.
+    Equal texts are one row before that. Null texts count as empty; empty texts
+    are copies of each other. Rows without doc_id are left out; a doc_id with
+    several texts is one node, linked if any of them is.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", F.sha2("text", 256).alias("same"), "text")
-    copies = stage(keyed.select("doc_id", "same"), "copies")
-    reps = stage(copies.groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
-    firsts = reps.select(F.col("rep").alias("doc_id")).distinct()
 
     def describe(batches):
         for batch in pieces(batches):
             found = texts_of(batch, "text")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([word_set_fingerprint(x) for x in found], pa.int64()), pa.array([sketch(x).tobytes() for x in found], pa.binary())], ["rep", "fp", "sketch"]
-            )
-
-    # a doc_id with several texts is one node, described by one of them
-    described = rows.join(firsts, "doc_id").mapInArrow(describe, "rep long, fp long, sketch binary")
-    described = stage(described, "described")
-    nodes = described.groupBy("rep").agg(F.min("fp").alias("fp"))
+            columns = [pa.array([sha256(x).digest() for x in found], pa.binary()), pa.array([word_set_fingerprint(x) for x in found], pa.int64()), pa.array([sketch(x).tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "same", "fp", "sketch"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    described = stage(rows.mapInArrow(describe, "doc_id long, same binary, fp long, sketch binary"), "described")
+    reps = stage(described.groupBy("same", "fp").agg(F.min("doc_id").alias("rep")), "reps")
+    nodes = reps.groupBy("rep").agg(F.min("fp").alias("fp"))
     flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     spread = nodes.select("rep", "fp", F.inline(_segments(F.col("fp")))).select("rep", "fp", "seg", F.explode(F.concat(F.array("key"), flips)).alias("key"))
-    edges = spread.repartition("seg", "key").sortWithinPartitions("seg", "key").mapInArrow(_bucket_edges, "u long, v long").distinct()
-    one, two = (described.groupBy(F.col("rep").alias(k)).agg(F.min("sketch").alias(f"sketch_{k}")) for k in ("u", "v"))
+    edges = spread.repartition("seg", "key").sortWithinPartitions("seg", "key").mapInArrow(_bucket_edges, "u long, v long")
+    edges = stage(edges.distinct(), "candidates")
 
     def verify(batches):
         for batch in batches:
             a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(k).to_pylist()] for k in ("sketch_u", "sketch_v"))
             yield batch.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    links = edges.join(one, "u").join(two, "v").mapInArrow(verify, "u long, v long")
-    groups = components(links)
+    of = lambda k: described.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
+    groups = components(edges.join(of("u"), "u").join(of("v"), "v").mapInArrow(verify, "u long, v long"))
     found = reps.join(groups, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("kept_id"))
-    return copies.join(found, "same").select("doc_id", "kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
+    return described.select("doc_id", "same").join(found, "same").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
