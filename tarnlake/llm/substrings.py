@@ -37,6 +37,8 @@ from tarnlake.llm.common import pieces, runs, texts_of, width
 LENGTH, GRAM = 50, 20
 #: Windows in a run, bytes in a group of documents and in a stretch that is scanned at once.
 LONGEST_RUN, GROUP_BYTES, STRETCH = 64, 8 << 20, 1 << 20
+#: Bytes of text for each place where names, and where runs, are compared.
+NAME_BYTES, RUN_BYTES = 64 << 20, 4 << 20
 
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -69,6 +71,15 @@ def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Integers of at least 0, byte by byte of their places: empty places cost nothing."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
 class Runs:
     """The runs of windows in texts: ``text`` (index), ``begin`` (in its text), ``windows``, ``name``."""
 
@@ -133,7 +144,7 @@ def _send_names(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             part = slice(cuts[b], cuts[b + 1])
             used, at = np.unique(which[part], return_inverse=True)
             yield pa.RecordBatch.from_pydict(
-                {"bucket": pa.array([b], pa.int32()), "docs": [docs[used].tobytes()], "keys": [(keys[part] & _U(0xFFFFFFFF)).astype("<u4").tobytes()], "which": [at.astype("<u4").tobytes()], "ids": [ids[used].tobytes()]}
+                {"bucket": pa.array([b], pa.int32()), "docs": [docs[used].tobytes()], "keys": [_squeeze(np.diff(keys[part] & _U(0xFFFFFFFF), prepend=_U(0)))], "which": [_squeeze(at)], "ids": [ids[used].tobytes()]}
             )
 
     def run(batches):
@@ -167,7 +178,7 @@ def _shared_names(named: DataFrame, groups: int) -> DataFrame:
                     yield from _shared_in_bucket(now, held, groups)
                     held = []
                 now = row["bucket"]
-                held.append([np.frombuffer(row[k], t) for k, t in (("docs", "<i8"), ("ids", "<i8"), ("keys", "<u4"), ("which", "<u4"))])
+                held.append([np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["ids"], "<i8"), np.cumsum(_unsqueeze(row["keys"])).astype(np.uint32), _unsqueeze(row["which"])])
         if held:
             yield from _shared_in_bucket(now, held, groups)
 
@@ -178,7 +189,7 @@ def _shared_in_bucket(bucket: int, held: list, groups: int):
     docs, ids, keys, which = zip(*held, strict=True)
     before = np.cumsum([0, *map(len, docs)])
     docs, ids, keys = np.concatenate(docs), np.concatenate(ids), np.concatenate(keys)
-    which = np.concatenate([w.astype(np.int64) + b for w, b in zip(which, before, strict=False)])
+    which = np.concatenate([w + b for w, b in zip(which, before, strict=False)])
     order = np.argsort(keys)
     which, keys = which[order], keys[order]
     first = runs(keys)
@@ -197,19 +208,21 @@ def _shared_in_bucket(bucket: int, held: list, groups: int):
         yield pa.RecordBatch.from_pydict({"grp": pa.array([grp[a]], pa.int32()), "docs": [docs[a:b].tobytes()], "keys": [keys[a:b].tobytes()]})
 
 
-#: kind 0: spans of documents, for their group ``dest``; kind 1: runs, for the place ``dest`` of their names.
-SENT = "kind int, dest int, docs binary, ids binary, begins binary, ends binary, names binary, bytes binary"
-_EMPTY = dict.fromkeys(("names", "bytes"), [b""])
+#: kind 0: spans of documents, for their group ``dest``; kind 1: runs of group ``grp``, for the place ``dest`` of
+#: their names. Documents go by their rank among the group's. ``ids`` are relative to the least, ``base``.
+SENT = "kind int, dest int, grp int, base long, ranks binary, ids binary, begins binary, sizes binary, bytes binary"
 
 
-def _sent(kind: int, dest: int, docs, ids, begins, ends, **more) -> pa.RecordBatch:
-    as_bytes = {k: [np.ascontiguousarray(v).astype("<i8").tobytes()] for k, v in (("docs", docs), ("ids", ids), ("begins", begins), ("ends", ends))}
-    return pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "dest": pa.array([dest], pa.int32()), **as_bytes, **_EMPTY, **more})
+def _sent(kind: int, dest: int, grp: int, ranks, ids, begins, sizes, data: bytes = b"") -> pa.RecordBatch:
+    base = int(ids.min()) if len(ids) else 0
+    ints = (pa.array([x], pa.int32()) for x in (kind, dest, grp))
+    wide = (ids - base).astype(np.uint64)
+    return pa.RecordBatch.from_arrays([*ints, pa.array([base], pa.int64()), *(pa.array([_squeeze(x)], pa.binary()) for x in (ranks, wide, begins, sizes)), pa.array([data], pa.binary())], ["kind", "dest", "grp", "base", "ranks", "ids", "begins", "sizes", "bytes"])
 
 
 def _send_runs(places: int, buckets: int, length: int):
     def run(key, docs: pa.Table, found: pa.Table) -> pa.Table:
-        grp, out = key[0].as_py(), [_sent(0, key[0].as_py(), *[np.zeros(0)] * 4)]
+        grp, out = key[0].as_py(), [_sent(0, key[0].as_py(), key[0].as_py(), *[np.zeros(0, np.int64)] * 4)]
         if not docs.num_rows or not found.num_rows:
             return pa.Table.from_batches(out)
         known = [np.concatenate([np.frombuffer(x, t) for x in found.column(c).to_pylist()]) for c, t in (("docs", "<i8"), ("keys", "<u8"))]
@@ -229,6 +242,7 @@ def _send_runs(places: int, buckets: int, length: int):
             cut.append((scan.text[kept] + len(texts), scan.begin[kept], scan.windows[kept], scan.name[kept]))
             texts += part
         which, begin, n, name = (np.concatenate(x) for x in zip(*cut, strict=True))
+        rank = np.searchsorted(np.unique(doc), doc)
         strings = [texts[i][b:e] for i, b, e in zip(which.tolist(), begin.tolist(), (begin + n + length - 1).tolist(), strict=True)]
         owner = ids[which]
         least: dict[bytes, int] = {}
@@ -236,38 +250,38 @@ def _send_runs(places: int, buckets: int, length: int):
             if d < least.get(s, d + 1):
                 least[s] = d
         later = owner > np.array([least[s] for s in strings], np.int64) if strings else np.zeros(0, bool)
-        out.append(_sent(0, grp, doc[which[later]], owner[later], begin[later], begin[later] + n[later] + length - 1))
-        dest = (name >> _U(8)) % _U(places)
+        size = n + length - 1
+        out.append(_sent(0, grp, grp, rank[which[later]], owner[later], begin[later], size[later]))
+        dest = ((name >> _U(8)) % _U(places)).astype(np.int64)
         rest = np.flatnonzero(~later)
-        rest = rest[np.lexsort((name[rest], dest[rest]))]
+        rest = rest[np.lexsort((begin[rest], rank[which[rest]], dest[rest]))]
         cuts = [*runs(dest[rest]).tolist(), len(rest)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             k = rest[a:b]
-            packed = zlib.compress(b"".join([strings[i] for i in k.tolist()]), 1)
-            out.append(_sent(1, int(dest[k[0]]), doc[which[k]], owner[k], begin[k], begin[k] + n[k], names=[name[k].tobytes()], bytes=[packed]))
+            packed = zlib.compress(b"".join([strings[i] for i in k.tolist()]), 6)
+            out.append(_sent(1, int(dest[k[0]]), grp, rank[which[k]], owner[k], begin[k], size[k], packed))
         return pa.Table.from_batches(out)
 
     return run
 
 
-def _match(sent: DataFrame, groups: int, length: int) -> DataFrame:
+def _match(sent: DataFrame, length: int) -> DataFrame:
     """Round two: spans of documents, in rows for their groups."""
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    if row["docs"]:
-                        yield _sent(0, row["dest"], *(np.frombuffer(row[k], "<i8") for k in ("docs", "ids", "begins", "ends")))
+            for i, (kind, dest) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("dest").to_pylist(), strict=True)):
+                if kind == 0:
+                    yield batch.slice(i, 1)
                     continue
-                if row["dest"] != now and held:
-                    yield from _matched(held, groups, length)
+                if dest != now and held:
+                    yield from _matched(held, length)
                     held = []
-                now = row["dest"]
-                held.append(row)
+                now = dest
+                held += batch.slice(i, 1).to_pylist()
         if held:
-            yield from _matched(held, groups, length)
+            yield from _matched(held, length)
 
     return sent.repartition("kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(run, SENT)
 
@@ -281,16 +295,18 @@ def _window_ranks(data: bytes, length: int) -> np.ndarray:
     return names
 
 
-def _matched(held: list[dict], groups: int, length: int):
-    read = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in held])
-    docs, ids, begins, ends, names = (read(k, t) for k, t in (("docs", "<i8"), ("ids", "<i8"), ("begins", "<i8"), ("ends", "<i8"), ("names", "<u8")))
+def _matched(held: list[dict], length: int):
+    read = lambda k: np.concatenate([_unsqueeze(r[k]) for r in held])
+    ranks, begins, sizes = read("ranks"), read("begins"), read("sizes")
+    count = [len(_unsqueeze(r["ranks"])) for r in held]
+    ids = np.concatenate([(_unsqueeze(r["ids"]).view(_U) + np.array(r["base"]).astype(_U)).view(np.int64) for r in held])
+    grp = np.repeat([r["grp"] for r in held], count)
     data = b"".join(zlib.decompress(r["bytes"]) for r in held)
-    n = ends - begins
-    sizes = n + length - 1
+    n = sizes - length + 1
     run = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     place = (np.cumsum(sizes) - sizes)[run] + step
-    rank = _pair(_window_ranks(data, length)[place], names[run])
+    rank = _window_ranks(data, length)[place]
     order = np.argsort(rank)
     first = runs(rank[order])
     owner = ids[run[order]]
@@ -303,14 +319,13 @@ def _matched(held: list[dict], groups: int, length: int):
         return
     new = np.concatenate(([True], (np.diff(gone) != 1) | (np.diff(run[gone]) != 0)))
     a, b = gone[new], gone[np.append(new[1:], True)]
-    which, low = run[a], begins[run[a]] + step[a]
-    high = begins[run[b]] + step[b] + length
-    grp = docs[which] % groups
-    order = np.argsort(grp, kind="stable")
-    cuts = [*runs(grp[order]).tolist(), len(order)]
+    which = run[a]
+    order = np.lexsort((begins[which] + step[a], ranks[which], grp[which]))
+    a, b, which = a[order], b[order], which[order]
+    cuts = [*runs(grp[which]).tolist(), len(which)]
     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-        k = order[x:y]
-        yield _sent(0, int(grp[k[0]]), docs[which[k]], ids[which[k]], low[k], high[k])
+        k, to = which[x:y], int(grp[which[x]])
+        yield _sent(0, to, to, ranks[k], ids[k], begins[k] + step[a[x:y]], step[b[x:y]] - step[a[x:y]] + length)
 
 
 def _same_bytes(data: bytes, place: np.ndarray, owner: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
@@ -355,16 +370,16 @@ def _digest(text: bytes, kept: bytes, spans: int) -> tuple:
 
 def _finish(clean: bool, names: list[str]):
     def run(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
-        columns = [np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8") for x in spans.column(c).to_pylist())]) for c in ("docs", "ids", "begins", "ends")]
-        order = np.lexsort((columns[2], columns[0]))
-        of, ids, begins, ends = (x[order] for x in columns)
+        of, begins, sizes = (np.concatenate([np.zeros(0, np.int64), *map(_unsqueeze, spans.column(c).to_pylist())]) for c in ("ranks", "begins", "sizes"))
+        order = np.argsort(of)
+        of, begins, ends = of[order], begins[order], (begins + sizes)[order]
+        ranked = np.unique(docs.column("doc").to_numpy())
         made = []
         for batch in docs.to_batches():
-            for doc, doc_id, text in zip(batch.column("doc").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
-                a, b = np.searchsorted(of, [doc, doc + 1]) if doc < np.iinfo(np.int64).max else (np.searchsorted(of, doc), len(of))
-                own = slice(a, b)
-                mine = ids[own] == doc_id
-                low, high = _merge(begins[own][mine], ends[own][mine])
+            rank = np.searchsorted(ranked, batch.column("doc").to_numpy())
+            cut = np.searchsorted(of, np.stack((rank, rank + 1))).T.tolist()
+            for (a, b), doc_id, text in zip(cut, batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
+                low, high = _merge(begins[a:b], ends[a:b])
                 edges = [0, *np.stack((low, high), axis=1).ravel().tolist(), len(text)]
                 kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if len(low) else text
                 made.append(kept.decode("utf-8", "ignore") if clean else (doc_id, *_digest(text, kept, len(low))))
@@ -387,14 +402,15 @@ def _repeats(docs: DataFrame, length: int, clean: bool) -> DataFrame:
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     parts = width(spark)
     groups = max(4 * parts, -(-size // GROUP_BYTES)) | 1
-    buckets = min(1 << 15, max(parts, size // (GRAM * 1_000_000)))
+    buckets = min(1 << 15, max(min(parts, 12), size // NAME_BYTES))
+    places = max(4 * parts, -(-size // RUN_BYTES))
     doc: Column = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit((1 << 62) - 57))
     columns = names if clean else ["doc_id", "text"]
     keyed = whole.where("doc_id is not null").select(*columns, doc.alias("doc"), (doc % F.lit(groups)).cast("int").alias("grp"))
     found = _shared_names(_send_names(keyed, buckets, length), groups)
     by_group = keyed.groupBy("grp")
-    sent = by_group.cogroup(found.groupBy("grp")).applyInArrow(_send_runs(parts, buckets, length), SENT)
-    spans = _match(sent, groups, length).withColumnRenamed("dest", "grp")
+    sent = by_group.cogroup(found.groupBy("grp")).applyInArrow(_send_runs(places, buckets, length), SENT)
+    spans = _match(sent, length)
     schema = whole.schema if clean else DIGEST
     done = by_group.cogroup(spans.groupBy("grp")).applyInArrow(_finish(clean, names), schema)
     none = whole.where("doc_id is null")

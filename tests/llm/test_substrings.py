@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -91,7 +92,7 @@ def test_equal_ranks_of_unequal_strings(monkeypatch):
 
     monkeypatch.setattr(substrings, "_window_ranks", lambda data, n: np.zeros(len(data), np.uint64))
     a, b = bytes(range(60)), bytes(range(100, 160))
-    row = lambda doc, s: {"docs": np.array([doc]).tobytes(), "ids": np.array([doc]).tobytes(), "begins": np.array([0]).tobytes(), "ends": np.array([11]).tobytes(), "names": np.zeros(1, np.uint64).tobytes(), "bytes": __import__("zlib").compress(s)}
-    out = [r for x in substrings._matched([row(1, a), row(2, b), row(3, b), row(4, a)], 1, 50) for r in x.to_pylist()]
-    spans = sorted((int(d), int(x), int(y)) for r in out for d, x, y in zip(*(np.frombuffer(r[k], "<i8") for k in ("docs", "begins", "ends"))))
-    assert spans == [(3, 0, 60), (4, 0, 60)]
+    row = lambda doc, s: substrings._sent(1, 0, 0, *(np.array([x]) for x in (doc, doc - 5, 0, 60)), zlib.compress(s)).to_pylist()[0]
+    (out,) = substrings._matched([row(1, a), row(2, b), row(3, b), row(4, a)], 50)
+    got = [substrings._unsqueeze(out.to_pylist()[0][k]).tolist() for k in ("ranks", "begins", "sizes")]
+    assert got == [[3, 4], [0, 0], [60, 60]]
