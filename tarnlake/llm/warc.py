@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -104,11 +105,11 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_
     bounds = spark.sparkContext.broadcast(_shard_bounds(small, shard_bytes))
 
     @F.pandas_udf("int")
-    def shard_of(ids):
-        return __import__("pandas").Series(np.searchsorted(bounds.value, ids.fillna(np.iinfo(np.int64).min).astype("int64").to_numpy(), side="right").astype("int32"))
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, ids.to_numpy(), side="right").astype(np.int32))
 
     marks = revisits(small).distinct().select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first"))
-    rows = pages.withColumn("first", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", shard_of("page_id"))
+    rows = pages.withColumn("first", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63)))))
     # one shuffle: a mark arrives just before the pages with its id
     rows = rows.repartition(max(1, len(bounds.value) + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("payload").isNotNull(), "url", F.xxhash64("payload"))
 
