@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarnlake.llm import chat, common, decontaminate, langid, maxent_lm, neardup_vectors, packing, quality, simhash, substrings, warc
 

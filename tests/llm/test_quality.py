@@ -3,7 +3,6 @@ import pytest
 
 from tarnlake.llm import queries
 from tarnlake.llm.quality import MEASURES, classify, learn, measures, nn_pu_fit, pairs, reject
-from tests.conftest import SF
 
 LABELS = "doc_id long, quality int, toxic int, text string"
 
