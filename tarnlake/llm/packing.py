@@ -26,21 +26,26 @@ smallest other items and b the largest other item that fits into r. Then
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import pieces, stage, texts_of, width
+from tarnlake.llm.common import pieces, stage, width
 
 CAPACITY = 4096
 END = 1
 #: Distinct chunks of text whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 
 
 @dataclass
@@ -213,41 +218,143 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
+_NEVER = np.int32(1 << 30)
+#: Words that are merged at once, so that they stay in a CPU's cache.
+_WORDS_AT_ONCE = 4096
+
+
+class WordPieces:
+    """Byte-pair merges of many words at once, for a tokenizer file of kind BPE with word ends."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary, ending = model["vocab"], model["end_of_word_suffix"]
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        keys = np.array([vocabulary[a] << 16 | vocabulary[b] for a, b in pairs], np.uint32)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.uint32)
+        # byte-level alphabet: printable Latin-1 stands for itself, other bytes for what follows U+0100
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        names = {x: chr(x) for x in shown} | {x: chr(0x100 + k) for k, x in enumerate(sorted(set(range(256)).difference(shown)))}
+        self.plain, self.last = (np.array([vocabulary[names[x] + end] for x in range(256)], np.uint32) for end in ("", ending))
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << np.uint32(16) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NEVER)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        return [x for i in range(0, len(words), _WORDS_AT_ONCE) for x in self._merged(words[i : i + _WORDS_AT_ONCE])]
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """In a round, each unfinished word merges its first pair of the lowest rank."""
+        out = [b""] * len(words)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        ids = self.plain[data]
+        ends = np.cumsum(size) - 1
+        ids[ends] = self.last[data[ends]]
+        which = np.arange(len(words))
+        rank = self._rank(ids, np.append(ids[1:], ids[:1]))
+        rank[ends] = _NEVER
+        while len(which):
+            first = np.cumsum(size) - size
+            least = np.minimum.reduceat(rank, first)
+            done = least == _NEVER
+            if done.any():
+                raw = ids.astype("<u4").tobytes()
+                for w, x, n in zip(which[done].tolist(), first[done].tolist(), size[done].tolist(), strict=True):
+                    out[w] = raw[4 * x : 4 * (x + n)]
+                left = np.repeat(~done, size)
+                ids, rank, which, size, least = ids[left], rank[left], which[~done], size[~done], least[~done]
+                if not len(which):
+                    break
+                first = np.cumsum(size) - size
+            word = np.repeat(np.arange(len(size)), size)
+            at = np.flatnonzero(rank == least[word])
+            own = word[at]
+            at = at[np.append(True, own[1:] != own[:-1])]
+            ids[at] = self.made[least]
+            rank[at] = rank[at + 1]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, rank = ids[kept], rank[kept]
+            at -= np.arange(len(at))
+            size -= 1
+            first = np.cumsum(size) - size
+            more = at[at < first + size - 1]
+            rank[more] = self._rank(ids[more], ids[more + 1])
+            rank[first + size - 1] = _NEVER
+            back = at[at > first] - 1
+            rank[back] = self._rank(ids[back], ids[back + 1])
+        return out
+
+
 class Encoder:
-    """Ids of texts, as little-endian 32-bit bytes, by a tokenizer whose splits never cross white space.
+    """Ids of texts, as little-endian 32-bit bytes, by ``word_bpe_49k``-like tokenizers.
 
-    Ids of chunks between white space are remembered, up to a bound.
+    Their splits never cross white space, so ids of chunks between white space
+    are remembered, up to a bound. Common chunks are cut into words as the
+    tokenizer's pattern does and merged many at a time; it encodes others itself.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = WordPieces(path)
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if not _SIMPLE.isdisjoint(text):
-            return self.whole([text])[0]
-        chunks = text.split()
-        new = [c for c in set(chunks).difference(self.known) if c]
+    def learn(self, chunks: list[str]) -> None:
+        plain, odd = [], []
+        for c in chunks:
+            (plain if len(c) <= LONGEST and (c.isascii() or not _RARE.search(c)) else odd).append(c)
+        self.known.update(zip(odd, self.whole(odd), strict=True))
+        single, singles, several, parts = [], [], [], []
+        for c in plain:
+            x = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).lower()
+            if x.isalpha():
+                single.append(c)
+                singles.append(x)
+            else:
+                several.append(c)
+                parts.append((x[:-1], x[-1]) if x[:-1].isalpha() else tuple(_WORDS.findall(x)))
+        words = list(set(singles).union(*parts))
+        ids = dict(zip(words, self.merge([w.encode() for w in words]), strict=True)) if words else {}
+        self.known.update(zip(single, map(ids.__getitem__, singles), strict=True))
+        self.known.update((c, b"".join(map(ids.__getitem__, x))) for c, x in zip(several, parts, strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [None if any(x in t for x in _SEPARATORS) else t.split() for t in texts]
+        found = [None if x is None else list(map(self.known.get, x)) for x in split]
+        short = [f is not None and None in f for f in found]
+        new = list({c for x, f, s in zip(split, found, short, strict=True) if s for c, g in zip(x, f, strict=True) if g is None})
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
-            new = list(set(chunks))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self.whole(part), strict=True))
-        return b"".join(map(self.known.__getitem__, chunks))
-
-
-#: Split on by str.split(), though no white space to tokenizers.
-_SIMPLE = frozenset("\x1c\x1d\x1e\x1f")
+        if new:
+            self.learn(new)
+        out = []
+        for text, x, f, s in zip(texts, split, found, short, strict=True):
+            if x is None:
+                out += self.whole([text])
+            else:
+                out.append(b"".join([self.known[c] if g is None else g for c, g in zip(x, f, strict=True)] if s else f))
+        return out
+
+
+#: The tokenizer's pattern; separators that str.split() alone takes for white space.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Beyond Latin, or lower-cased in a way of their own.
+_RARE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -264,8 +371,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         stop = np.array([end], "<u4").tobytes()
         for batch in pieces(batches):
             rows: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
-                ids = encoder(text.decode()) + stop
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder([x or "" for x in batch.column("text").to_pylist()]), strict=True):
+                ids += stop
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for to, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
