@@ -36,9 +36,9 @@ from tarnlake.llm.common import pieces, runs, texts_of, width
 
 LENGTH, GRAM = 50, 20
 #: Windows in a run, bytes in a group of documents and in a stretch that is scanned at once.
-LONGEST_RUN, GROUP_BYTES, STRETCH = 64, 8 << 20, 1 << 20
+LONGEST_RUN, GROUP_BYTES, STRETCH = 64, 16 << 20, 1 << 20
 #: Bytes of text for each place where names, and where runs, are compared.
-NAME_BYTES, RUN_BYTES = 64 << 20, 4 << 20
+NAME_BYTES, RUN_BYTES = 64 << 20, 8 << 20
 
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -401,9 +401,9 @@ def _repeats(docs: DataFrame, length: int, clean: bool) -> DataFrame:
     whole = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")) if not clean else docs
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     parts = width(spark)
-    groups = max(4 * parts, -(-size // GROUP_BYTES)) | 1
+    groups = max(2 * parts, -(-size // GROUP_BYTES)) | 1
     buckets = min(1 << 15, max(min(parts, 12), size // NAME_BYTES))
-    places = max(4 * parts, -(-size // RUN_BYTES))
+    places = max(parts, -(-size // RUN_BYTES))
     doc: Column = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit((1 << 62) - 57))
     columns = names if clean else ["doc_id", "text"]
     keyed = whole.where("doc_id is not null").select(*columns, doc.alias("doc"), (doc % F.lit(groups)).cast("int").alias("grp"))
