@@ -26,7 +26,9 @@ from tarnlake.llm.common import Forest, components, stage
 
 LEAST_COSINE = 0.95
 #: Vectors at home in a block, and pivots, at most.
-BLOCK, MOST_PIVOTS = 2048, 1024
+BLOCK, MOST_PIVOTS = 8192, 1024
+#: Vectors that meet a block at once, which bounds the product of matrices.
+MET = 512
 #: Above the rounding of distances between unit vectors.
 SLACK = 1e-9
 
@@ -181,10 +183,8 @@ def _join_cells(placed: DataFrame, parts: int, least: float) -> DataFrame:
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, schema=schema)
         for batch in batches:
             keys = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "cell", "block", "replica")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            cuts = sorted({0, len(keys), *range(0, len(keys), MET), *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()})
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
                 *key, replica = keys[a].tolist()
                 if key != now:
                     if now is not None:
