@@ -108,20 +108,43 @@ def simhash_groups(docs: DataFrame, size: int = 3, most_bits: int = MOST_BITS) -
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of near_duplicates: bits within which texts that meet are compared, words in a shingle, least similarity, hashes in a sketch.
-CANDIDATE_BITS, SHINGLE, LEAST_SIMILARITY, SKETCH = 10, 5, 0.8, 256
-_HALF = (1 << 32) - 1
+#: Of near_duplicates: words in a shingle, least similarity, hashes in a sketch.
+SHINGLE, LEAST_SIMILARITY, SKETCH = 5, 0.8, 256
+#: MinHash bands and hashes in each. Two sets with a similarity of 0.8 share no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
+BANDS, ROWS = 32, 4
+#: Of the lowest bits of all 128 minima, how many may differ. At 0.8 more differ with a probability of 3e-9; at 0.44 half of the pairs pass.
+MOST_APART = 36
+_LANES = np.random.default_rng(SEED).integers(1 << 20, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def word_set_fingerprint(text: bytes) -> int:
-    """SimHash of the distinct words: an edited word moves it less than it moves that of shingles."""
-    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], np.uint64)
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), AT_ONCE):
-        ones += np.unpackbits(hashes[at : at + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * _MIX
+    return x ^ x >> np.uint64(29)
+
+
+def minima(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """MinHash of the shingles: the least value of each lane; no words give the largest one."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for hashes in shingle_hashes(text, size):
+        high = (hashes >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(high), 256):
+            np.minimum(least, (high[at : at + 256, None] * _LANES).min(axis=0), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band."""
+    halves = least.reshape(BANDS, ROWS // 2, 2).astype(np.uint64)
+    keys = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    for k in range(ROWS // 2):
+        keys = _mix(keys * _MIX + (halves[:, k, 0] << np.uint64(32) | halves[:, k, 1]))
+    return keys.view(np.int64)
+
+
+def lowest_bits(least: np.ndarray) -> np.ndarray:
+    """A bit of each lane, in two words."""
+    return np.packbits((_mix(least.astype(np.uint64)) >> np.uint64(40) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def sketch(text: bytes, size: int = SHINGLE, most: int = SKETCH) -> np.ndarray:
@@ -140,28 +163,31 @@ def similarity(a: np.ndarray, b: np.ndarray, most: int = SKETCH) -> float:
 
 
 def _bucket_edges(batches):
-    """Edges within buckets: from each text to its nearest one before it and to the nearest of all, within CANDIDATE_BITS."""
+    """Edges within buckets: from each text to its nearest one before it and to the nearest of all, at most MOST_APART bits away."""
 
     def flush(rows):
-        keys, fps, reps = (np.concatenate(x) for x in zip(*rows, strict=True))
-        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        keys, lows, highs, reps = (np.concatenate(x) for x in zip(*rows, strict=True))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(first, len(keys)))
-        us, vs = [], []
-        for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-            fp, rep = fps[a : a + n], reps[a : a + n]
-            order = np.argsort(rep)
-            fp, rep = fp[order], rep[order]
+        a = first[size == 2]
+        apart = np.bitwise_count(lows[a] ^ lows[a + 1]).astype(np.int16) + np.bitwise_count(highs[a] ^ highs[a + 1])
+        a = a[(apart <= MOST_APART) & (reps[a] != reps[a + 1])]
+        us, vs = [reps[a]], [reps[a + 1]]
+        for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            order = a + np.argsort(reps[a : a + n], kind="stable")
+            low, high, rep = lows[order], highs[order], reps[order]
             for at in range(0, n, 512):
-                far = np.bitwise_count(fp[at : at + 512, None] ^ fp[None, :]).astype(np.int16)
+                mine = slice(at, at + 512)
+                far = np.bitwise_count(low[mine, None] ^ low[None, :]).astype(np.int16) + np.bitwise_count(high[mine, None] ^ high[None, :])
+                far[rep[mine, None] == rep[None, :]] = 999
+                before = np.where(rep[None, :] < rep[mine, None], far, 999)
                 row = np.arange(len(far))
-                far[row, row + at] = 99
-                before = np.where(np.arange(n)[None, :] < (row + at)[:, None], far, 99)
                 for d in (far, before):
                     near = d.argmin(axis=1)
-                    good = d[row, near] <= CANDIDATE_BITS
-                    us.append(rep[at : at + 512][good])
+                    good = d[row, near] <= MOST_APART
+                    us.append(rep[mine][good])
                     vs.append(rep[near[good]])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        u, v = np.concatenate(us), np.concatenate(vs)
         pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["u", "v"])
 
@@ -169,11 +195,13 @@ def _bucket_edges(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = [np.stack([batch.column(x).to_numpy() for x in ("seg", "key")], axis=1), batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()]
-        if held and (held[-1][0][-1] != part[0][0]).any():
+        key, low, high, rep = (batch.column(x).to_numpy() for x in ("key", "low", "high", "rep"))
+        part = (key, low.view(np.uint64), high.view(np.uint64), rep)
+        if held and held[-1][0][-1] != key[0]:
             yield flush(held)
             held = []
-        cut = int(np.flatnonzero((part[0] != part[0][-1]).any(axis=1))[-1]) + 1 if (part[0] != part[0][-1]).any() else 0
+        others = np.flatnonzero(key != key[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
         if cut:  # what is left may go on in the next batch
             held.append(tuple(x[:cut] for x in part))
             yield flush(held)
@@ -186,9 +214,10 @@ def _bucket_edges(batches):
 def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """``(doc_id, kept_id)``: the smallest id of the group of each document that has one, exact and near copies.
 
-    Balls of radius one around both halves of a word-set fingerprint meet in a
-    bucket if the halves differ in at most two bits, so texts are compared if
-    five bits or fewer differ in all, and up to ten where they meet. A bucket gives each text's nearest partners, not
+    Texts meet in a bucket if the minima of a band of MinHashes of their
+    five-word shingles are equal, which finds any two with a similarity of 0.8,
+    whatever their lengths and wherever they differ, but for one pair in
+    20 million. A bucket gives each text's nearest partners, not
     all pairs; those whose five-word shingles are similar enough are linked.
     Equal texts are one row before that. Null texts count as empty; empty texts
     are copies of each other. Rows without doc_id are left out; a doc_id with
@@ -198,17 +227,19 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     def describe(batches):
         for batch in pieces(batches):
             found = texts_of(batch, "text")
-            columns = [pa.array([sha256(x).digest() for x in found], pa.binary()), pa.array([word_set_fingerprint(x) for x in found], pa.int64()), pa.array([sketch(x).tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "same", "fp", "sketch"])
+            least_of = [minima(x) for x in found]
+            bits = np.array([lowest_bits(x) for x in least_of]).reshape(-1, 2)
+            columns = [
+                pa.array([sha256(x).digest() for x in found], pa.binary()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()),
+                pa.array([bands(x) for x in least_of], pa.list_(pa.int64())), pa.array([sketch(x).tobytes() for x in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "same", "low", "high", "keys", "sketch"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stage(rows.mapInArrow(describe, "doc_id long, same binary, fp long, sketch binary"), "described")
-    reps = stage(described.groupBy("same", "fp").agg(F.min("doc_id").alias("rep")), "reps")
-    nodes = reps.groupBy("rep").agg(F.min("fp").alias("fp"))
-    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    spread = nodes.select("rep", "fp", F.inline(_segments(F.col("fp")))).select("rep", "fp", "seg", F.explode(F.concat(F.array("key"), flips)).alias("key"))
-    edges = spread.repartition("seg", "key").sortWithinPartitions("seg", "key").mapInArrow(_bucket_edges, "u long, v long")
-    edges = stage(edges.distinct(), "candidates")
+    described = stage(rows.mapInArrow(describe, "doc_id long, same binary, low long, high long, keys array<long>, sketch binary"), "described")
+    reps = stage(described.groupBy("same", "low", "high", "keys").agg(F.min("doc_id").alias("rep")), "reps")
+    buckets = reps.select("rep", "low", "high", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
+    edges = stage(buckets.mapInArrow(_bucket_edges, "u long, v long").distinct(), "candidates")
 
     def verify(batches):
         for batch in batches:

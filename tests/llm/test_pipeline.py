@@ -105,3 +105,39 @@ def test_large_group_is_one(spark):
         w[rng.randrange(150)] = f"x{i}"
         rows.append((i, " ".join(w)))
     assert {r["kept_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def copies(rng, words):
+    """Appended, truncated and edited copies, some just over a similarity of 0.8."""
+    fresh = lambda: f"n{rng.randint(0, 10**9)}"
+    n = len(words)
+    for share in (0.8, 0.85, 0.9):
+        yield words + [fresh() for _ in range(int((n - 4) / share) - n + 4)]
+        yield words[: -int((n - 4) * (1 - share))]
+        yield words[int((n - 4) * (1 - share)) :]
+        edited = list(words)
+        for at in range(7, n - 7, int(10 / (1 - share)) + 1):
+            edited[at] = fresh()
+        yield edited
+
+
+def test_copies_down_to_the_least_similarity(spark):
+    rng = random.Random(7)
+    rows, pairs = [], []
+    for _ in range(30):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice((60, 120, 200)))]
+        for copy in copies(rng, words):  # a base of its own for each, so that copies are not linked through others
+            base = [f"{w}b{len(rows)}" for w in words]
+            of = {w: b for w, b in zip(words, base)}
+            a, b = " ".join(base), " ".join(of.get(w, w) for w in copy)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+            if jaccard(a, b) >= 0.8:
+                pairs.append((len(rows) - 2, len(rows) - 1))
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(pairs) > 300 and [p for p in pairs if got[p[1]] != p[0]] == []
+    assert sum(got[i] != i for i, _ in rows) == len(pairs)
