@@ -162,53 +162,76 @@ def similarity(a: np.ndarray, b: np.ndarray, most: int = SKETCH) -> float:
     return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum() / len(both)) if len(both) else 1.0
 
 
-def _bucket_edges(batches):
-    """Edges within buckets: from each text to its nearest one before it and to the nearest of all, at most MOST_APART bits away."""
+def _nearest(rep, tree, apart, mine):
+    """From each text to its nearest one before it and to the nearest of all."""
+    far = np.where(tree[mine, None] == tree[None, :], 999, apart)
+    before = np.where(rep[None, :] < rep[mine, None], far, 999)
+    row, us, vs = np.arange(len(far)), [], []
+    for d in (far, before):
+        near = d.argmin(axis=1)
+        good = d[row, near] <= MOST_APART
+        us.append(rep[mine][good])
+        vs.append(rep[near[good]])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _all(rep, tree, apart, mine):
+    """Every pair of texts that are not in one tree."""
+    i, j = np.nonzero((apart <= MOST_APART) & (tree[mine, None] != tree[None, :]) & (rep[None, :] < rep[mine, None]))
+    return rep[mine][i], rep[j]
+
+
+def _bucket_edges(batches, choose):
+    """Edges within buckets, between texts of different trees and at most MOST_APART bits away, that ``choose`` takes."""
+
+    def batch_of(u, v):
+        pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["u", "v"])
 
     def flush(rows):
-        keys, lows, highs, reps = (np.concatenate(x) for x in zip(*rows, strict=True))
+        keys, lows, highs, reps, trees = (np.concatenate(x) for x in zip(*rows, strict=True))
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(first, len(keys)))
         a = first[size == 2]
         apart = np.bitwise_count(lows[a] ^ lows[a + 1]).astype(np.int16) + np.bitwise_count(highs[a] ^ highs[a + 1])
-        a = a[(apart <= MOST_APART) & (reps[a] != reps[a + 1])]
-        us, vs = [reps[a]], [reps[a + 1]]
+        a = a[(apart <= MOST_APART) & (trees[a] != trees[a + 1])]
+        us, vs, held = [reps[a]], [reps[a + 1]], len(a)
         for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
             order = a + np.argsort(reps[a : a + n], kind="stable")
-            low, high, rep = lows[order], highs[order], reps[order]
+            low, high, rep, tree = lows[order], highs[order], reps[order], trees[order]
+            if (tree == tree[0]).all():
+                continue
             for at in range(0, n, 512):
                 mine = slice(at, at + 512)
-                far = np.bitwise_count(low[mine, None] ^ low[None, :]).astype(np.int16) + np.bitwise_count(high[mine, None] ^ high[None, :])
-                far[rep[mine, None] == rep[None, :]] = 999
-                before = np.where(rep[None, :] < rep[mine, None], far, 999)
-                row = np.arange(len(far))
-                for d in (far, before):
-                    near = d.argmin(axis=1)
-                    good = d[row, near] <= MOST_APART
-                    us.append(rep[mine][good])
-                    vs.append(rep[near[good]])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["u", "v"])
+                apart = np.bitwise_count(low[mine, None] ^ low[None, :]).astype(np.int16) + np.bitwise_count(high[mine, None] ^ high[None, :])
+                u, v = choose(rep, tree, apart, mine)
+                us.append(u)
+                vs.append(v)
+                held += len(u)
+                if held > 1 << 20:
+                    yield batch_of(np.concatenate(us), np.concatenate(vs))
+                    us, vs, held = [], [], 0
+        if us:
+            yield batch_of(np.concatenate(us), np.concatenate(vs))
 
     held: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, low, high, rep = (batch.column(x).to_numpy() for x in ("key", "low", "high", "rep"))
-        part = (key, low.view(np.uint64), high.view(np.uint64), rep)
+        key, low, high, rep, tree = (batch.column(x).to_numpy() for x in ("key", "low", "high", "rep", "tree"))
+        part = (key, low.view(np.uint64), high.view(np.uint64), rep, tree)
         if held and held[-1][0][-1] != key[0]:
-            yield flush(held)
+            yield from flush(held)
             held = []
         others = np.flatnonzero(key != key[-1])
         cut = int(others[-1]) + 1 if len(others) else 0
         if cut:  # what is left may go on in the next batch
             held.append(tuple(x[:cut] for x in part))
-            yield flush(held)
+            yield from flush(held)
             held = []
         held.append(tuple(x[cut:] for x in part))
     if held:
-        yield flush(held)
+        yield from flush(held)
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
@@ -217,8 +240,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     Texts meet in a bucket if the minima of a band of MinHashes of their
     five-word shingles are equal, which finds any two with a similarity of 0.8,
     whatever their lengths and wherever they differ, but for one pair in
-    20 million. A bucket gives each text's nearest partners, not
-    all pairs; those whose five-word shingles are similar enough are linked.
+    20 million. At first a bucket gives each text's nearest partners, and those
+    whose five-word shingles are similar enough are linked to trees; then it gives
+    all pairs between trees that were not compared yet.
     Equal texts are one row before that. Null texts count as empty; empty texts
     are copies of each other. Rows without doc_id are left out; a doc_id with
     several texts is one node, linked if any of them is.
@@ -238,8 +262,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = stage(rows.mapInArrow(describe, "doc_id long, same binary, low long, high long, keys array<long>, sketch binary"), "described")
     reps = stage(described.groupBy("same", "low", "high", "keys").agg(F.min("doc_id").alias("rep")), "reps")
-    buckets = reps.select("rep", "low", "high", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
-    edges = stage(buckets.mapInArrow(_bucket_edges, "u long, v long").distinct(), "candidates")
+
+    def pairs(texts, choose):
+        buckets = texts.select("rep", "tree", "low", "high", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
+        return buckets.mapInArrow(lambda batches: _bucket_edges(batches, choose), "u long, v long").distinct()
 
     def verify(batches):
         for batch in batches:
@@ -247,7 +273,15 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
             yield batch.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
 
     of = lambda k: described.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-    groups = components(edges.join(of("u"), "u").join(of("v"), "v").mapInArrow(verify, "u long, v long"))
+    linked = lambda edges: edges.join(of("u"), "u").join(of("v"), "v").mapInArrow(verify, "u long, v long")
+    edges = stage(pairs(reps.withColumn("tree", F.col("rep")), _nearest), "candidates")
+    groups = components(linked(edges))
+    ids = stage(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
+    trees = reps.join(ids, F.col("rep") == F.col("id"), "left_semi").join(groups, F.col("rep") == F.col("node"), "left").withColumn("tree", F.coalesce("component", "rep"))
+    others = stage(pairs(trees, _all).join(edges, ["u", "v"], "left_anti"), "candidates")
+    more = stage(linked(others), "links")
+    if not more.isEmpty():
+        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     found = reps.join(groups, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("kept_id"))
     return described.select("doc_id", "same").join(found, "same").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
 

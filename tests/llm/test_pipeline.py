@@ -141,3 +141,19 @@ def test_copies_down_to_the_least_similarity(spark):
     got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert len(pairs) > 300 and [p for p in pairs if got[p[1]] != p[0]] == []
     assert sum(got[i] != i for i, _ in rows) == len(pairs)
+
+
+def test_partners_behind_nearer_texts_are_compared(spark):
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for k in range(4):
+        word = lambda n: [f"w{rng.randint(0, 10**12)}" for _ in range(n)]  # noqa: B023, E731
+        x, one, two, three, four = word(160), word(8), word(8), word(8), word(8)
+        b, c = x + one + two, x + three + four
+        decoys = [one + x + three + word(26) for _ in range(60)]
+        texts = [" ".join(t) for t in [*decoys, b, c]]
+        assert jaccard(texts[-2], texts[-1]) >= 0.8 > max(jaccard(s, t) for i, s in enumerate(texts) for t in texts[i + 1 :] if (s, t) != (texts[-2], texts[-1]))
+        rows += [(1000 * k + i, t) for i, t in enumerate(texts)]
+        pairs.append((1000 * k + 60, 1000 * k + 61))
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sorted((got[i], i) for i in got if got[i] != i) == pairs
