@@ -108,8 +108,8 @@ def simhash_groups(docs: DataFrame, size: int = 3, most_bits: int = MOST_BITS) -
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of near_duplicates: words in a shingle, least similarity, hashes in a sketch.
-SHINGLE, LEAST_SIMILARITY, SKETCH = 5, 0.8, 256
+#: Of near_duplicates: words in a shingle, least similarity.
+SHINGLE, LEAST_SIMILARITY = 5, 0.8
 #: MinHash bands and hashes in each. Two sets with a similarity of 0.8 share no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
 #: Of the lowest bits of all 128 minima, how many may differ. At 0.8 more differ with a probability of 3e-9; at 0.44 half of the pairs pass.
@@ -147,19 +147,16 @@ def lowest_bits(least: np.ndarray) -> np.ndarray:
     return np.packbits((_mix(least.astype(np.uint64)) >> np.uint64(40) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def sketch(text: bytes, size: int = SHINGLE, most: int = SKETCH) -> np.ndarray:
-    """The smallest distinct shingle hashes, in 32 bits: all of them, unless there are more than ``most``."""
-    found = np.zeros(0, np.uint32)
-    for hashes in shingle_hashes(text, size):
-        both = np.sort(np.concatenate((found, (hashes >> np.uint64(32)).astype(np.uint32))))
-        found = both[np.append(True, both[1:] != both[:-1])][:most]
-    return found
+def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """All distinct shingle hashes, in 32 bits."""
+    found = [(x >> np.uint64(32)).astype(np.uint32) for x in shingle_hashes(text, size)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, most: int = SKETCH) -> float:
-    """Jaccard similarity of two shingle sets; from the ``most`` smallest hashes of the union if they are larger."""
-    both = np.union1d(a, b)[:most]
-    return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum() / len(both)) if len(both) else 1.0
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two whole shingle sets."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
 def _nearest(rep, tree, apart, mine):
@@ -255,28 +252,35 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
             bits = np.array([lowest_bits(x) for x in least_of]).reshape(-1, 2)
             columns = [
                 pa.array([sha256(x).digest() for x in found], pa.binary()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()),
-                pa.array([bands(x) for x in least_of], pa.list_(pa.int64())), pa.array([sketch(x).tobytes() for x in found], pa.binary()),
+                pa.array([bands(x) for x in least_of], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "same", "low", "high", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "same", "low", "high", "keys"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stage(rows.mapInArrow(describe, "doc_id long, same binary, low long, high long, keys array<long>, sketch binary"), "described")
+    described = stage(rows.mapInArrow(describe, "doc_id long, same binary, low long, high long, keys array<long>"), "described")
     reps = stage(described.groupBy("same", "low", "high", "keys").agg(F.min("doc_id").alias("rep")), "reps")
 
     def pairs(texts, choose):
         buckets = texts.select("rep", "tree", "low", "high", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
         return buckets.mapInArrow(lambda batches: _bucket_edges(batches, choose), "u long, v long").distinct()
 
+    def whole(batches):
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(x).tobytes() for x in texts_of(batch, "text")], pa.binary())], ["id", "shingles"])
+
     def verify(batches):
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(k).to_pylist()] for k in ("sketch_u", "sketch_v"))
+            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(k).to_pylist()] for k in ("shingles_u", "shingles_v"))
             yield batch.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    of = lambda k: described.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-    linked = lambda edges: edges.join(of("u"), "u").join(of("v"), "v").mapInArrow(verify, "u long, v long")
     edges = stage(pairs(reps.withColumn("tree", F.col("rep")), _nearest), "candidates")
-    groups = components(linked(edges))
     ids = stage(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
+    # whole shingle sets of the texts that have candidates
+    sets = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(whole, "id long, shingles binary")
+    sets = stage(sets.repartition("id").distinct(), "sets")
+    of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}"))
+    linked = lambda edges: edges.join(of("u"), "u").join(of("v"), "v").mapInArrow(verify, "u long, v long")
+    groups = components(linked(edges))
     trees = reps.join(ids, F.col("rep") == F.col("id"), "left_semi").join(groups, F.col("rep") == F.col("node"), "left").withColumn("tree", F.coalesce("component", "rep"))
     others = stage(pairs(trees, _all).join(edges, ["u", "v"], "left_anti"), "candidates")
     more = stage(linked(others), "links")

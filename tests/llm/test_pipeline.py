@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -157,3 +158,19 @@ def test_partners_behind_nearer_texts_are_compared(spark):
         pairs.append((1000 * k + 60, 1000 * k + 61))
     got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert sorted((got[i], i) for i in got if got[i] != i) == pairs
+
+
+def test_long_texts_by_their_whole_shingle_sets(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for n in (400, 700, 1500):
+        for share in (0.77, 0.78, 0.79, 0.8, 0.81, 0.82):
+            for _ in range(4):
+                words = [f"w{rng.randint(0, 10**12)}" for _ in range(n)]
+                kept = math.ceil((n - 4) * share) + 4
+                at = rng.randint(0, n - kept)
+                i = len(rows)
+                rows += [(i, " ".join(words)), (i + 1, " ".join(words[at : at + kept]))]
+                want[i + 1] = i if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else i + 1
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [i for i in want if got[i] != want[i]] == []
