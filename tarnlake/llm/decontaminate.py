@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import pieces, stage, texts_of
@@ -30,7 +30,7 @@ APART = 64
 _WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _TABLE = bytes(i if i in _WORD else 0x20 for i in range(256))
 
-INDEX = "doc_ids binary, n_words binary, begins binary, terms binary, offsets binary, positions binary"
+INDEX = "rows binary, doc_ids binary, n_words binary, begins binary, terms binary, offsets binary, positions binary"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -54,9 +54,9 @@ def benchmark_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterat
 
 
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """A row per shard of ``docs(doc_id, text)``: postings of the terms in ``vocabulary``.
+    """A row per shard of ``docs(row, doc_id, text)``: postings of the terms in ``vocabulary``.
 
-    ``doc_ids`` (int64), ``n_words`` and ``begins`` (first position of each
+    ``rows`` (int64, a key of each document row), ``doc_ids`` (int64), ``n_words`` and ``begins`` (first position of each
     document) run in parallel, as do ``terms`` and ``offsets``, which point into
     ``positions`` (int32, differences within a term).
     """
@@ -83,12 +83,12 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             steps[at] = places[at]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_ids": [_with_nulls(ids).tobytes()], "n_words": [counts.tobytes()], "begins": [begins.tobytes()],
+                    "rows": [batch.column("row").to_numpy().tobytes()], "doc_ids": [_with_nulls(ids).tobytes()], "n_words": [counts.tobytes()], "begins": [begins.tobytes()],
                     "terms": [flat[at].astype(np.int32).tobytes()], "offsets": [np.append(at, len(flat)).astype(np.int64).tobytes()], "positions": [steps.astype(np.int32).tobytes()],
                 }
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, INDEX)
 
 
@@ -104,7 +104,7 @@ class Shard:
 
     def __init__(self, row: dict) -> None:
         read = np.frombuffer
-        self.doc_ids, self.n_words, self.begins = (read(row[k], np.int64) for k in ("doc_ids", "n_words", "begins"))
+        self.rows, self.doc_ids, self.n_words, self.begins = (read(row[k], np.int64) for k in ("rows", "doc_ids", "n_words", "begins"))
         terms, offsets, steps = read(row["terms"], np.int32), read(row["offsets"], np.int64), read(row["positions"], np.int32)
         self.lists = {int(t): (int(a), int(b)) for t, a, b in zip(terms, offsets[:-1], offsets[1:], strict=True)}
         sums = np.cumsum(steps, dtype=np.int64)
@@ -147,7 +147,7 @@ def windows_of(block: list[tuple[int, list[bytes]]], window: int = WINDOW) -> tu
     return vocabulary, {k: sorted(v) for k, v in found.items()}
 
 
-HITS = "doc_id long, n_words long, begins array<int>, ends array<int>, items array<long>"
+HITS = "row long, doc_id long, n_words long, begins array<int>, ends array<int>, items array<long>"
 
 
 def search(index: DataFrame, phrases: dict[tuple[int, ...], list[int]], slop: int = 0) -> DataFrame:
@@ -185,32 +185,38 @@ def _per_document(shard: Shard, starts, sizes, which, phrases) -> pa.RecordBatch
         items[d].update(phrases[which[i]][1])
     ids = pa.array([None if x == NO_ID else int(x) for x in shard.doc_ids], pa.int64())
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(shard.n_words), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
-        ["doc_id", "n_words", "begins", "ends", "items"],
+        [pa.array(shard.rows), ids, pa.array(shard.n_words), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
+        ["row", "doc_id", "n_words", "begins", "ends", "items"],
     )
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Word ranges of ``docs`` inside occurrences of the items' windows.
 
-    One row per row of ``docs``, as ``HITS``: ``begins`` and ``ends`` are merged
+    One row per row of ``docs``, as ``HITS`` without ``row``: ``begins`` and ``ends`` are merged
     half-open word ranges, ``items`` the ids whose windows occur. Null texts have
     no words; items without id or words match nothing; repeated items count
     once; repeated documents stay. Of a benchmark of any size, ``block_words``
-    words are held at a time: each block is a pass of its own, and with several
-    passes, rows that repeat both doc_id and number of words come out as one.
+    words are held at a time: each block is a pass of its own, and the passes
+    are put together by a key of each row.
     """
+    return _hits(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), items, window, slop, block_words).drop("row")
+
+
+def _hits(keyed: DataFrame, items: DataFrame, window: int, slop: int, block_words: int) -> DataFrame:
     passes = []
     for block in benchmark_blocks(items, block_words):
+        if not passes and sum(len(x) for _, x in block) >= block_words:
+            keyed = stage(keyed, "keyed")  # there may be more passes, in which rows must have the same keys
         vocabulary, phrases = windows_of(block, window)
-        passes.append(search(stage(build_index(docs, vocabulary), "index"), phrases, slop))
+        passes.append(search(stage(build_index(keyed, vocabulary), "index"), phrases, slop))
     if not passes:
-        return search(build_index(docs, {}), {}, slop)
+        return search(build_index(keyed, {}), {}, slop)
     return passes[0] if len(passes) == 1 else _merged(reduce(DataFrame.unionByName, passes))
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """The ranges and items of one document from several passes, put together."""
+    """The ranges and items of one row from several passes, put together."""
 
     def run(key, table):
         spans = sorted((a, b) for x, y in zip(table["begins"].to_pylist(), table["ends"].to_pylist(), strict=True) for a, b in zip(x, y, strict=True))
@@ -222,18 +228,23 @@ def _merged(found: DataFrame) -> DataFrame:
                 begins.append(a)
                 ends.append(b)
         items = sorted({x for row in table["items"].to_pylist() for x in row})
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "n_words": pa.array([key[1].as_py()], pa.int64()), "begins": pa.array([begins], pa.list_(pa.int32())), "ends": pa.array([ends], pa.list_(pa.int32())), "items": pa.array([items], pa.list_(pa.int64()))})
+        first = table.slice(0, 1)
+        return pa.table({"row": first["row"], "doc_id": first["doc_id"], "n_words": first["n_words"], "begins": pa.array([begins], pa.list_(pa.int32())), "ends": pa.array([ends], pa.list_(pa.int32())), "items": pa.array([items], pa.list_(pa.int64()))})
 
-    return found.groupBy("doc_id", "n_words").applyInArrow(run, HITS)
+    return found.groupBy("row").applyInArrow(run, HITS)
 
 
 def digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
+def _n_hit() -> Column:
+    return F.aggregate(F.zip_with("begins", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+
+
 def summary(hits: DataFrame) -> DataFrame:
     """Counts and digests of ``contamination``'s rows."""
-    n_hit = F.aggregate(F.zip_with("begins", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    n_hit = _n_hit()
     named = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return hits.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -77,3 +77,13 @@ def test_no_rows(spark, no_docs, odd_docs):
     none = spark.createDataFrame([], ITEMS)
     assert contamination(no_docs, none).collect() == []
     assert {r["n_hit"] for r in summary(contamination(odd_docs, none)).collect()} == {0}
+
+
+def test_several_passes_give_the_rows_of_one(spark, odd_docs):
+    rows = [(None, "a b c"), (None, "c b a"), (1, "a b c"), (1, "x y z"), (1, "a b c"), (2, None), (2, "")]
+    items = [(1, "a b"), (2, "x y"), (3, "c b a"), (4, "b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for n in (1, 4, 1000):
+        got = [tuple(r) for r in summary(contamination(docs, table, block_words=n)).collect()]
+        assert sorted(got, key=str) == sorted(brute(rows, items), key=str)
