@@ -255,8 +255,10 @@ def summary(hits: DataFrame) -> DataFrame:
 def excise(docs: DataFrame, items: DataFrame, most_hit: float = 0.0, window: int = WINDOW) -> DataFrame:
     """``docs`` without documents that have over ``most_hit`` of their words in benchmark windows.
 
-    Columns stay as they are. A document without words is kept. Rows are told
-    apart by doc_id: a repeated id goes where any row that bears it is hit.
+    Columns stay as they are. A document without words is kept. Each row is
+    judged by its own text, whether it has a doc_id, shares one or has none.
     """
-    share = summary(contamination(docs, items, window)).where(F.col("n_hit") > most_hit * F.col("n_words"))
-    return docs.join(share.select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    keyed = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    hits = _hits(keyed.select("doc_id", "text", F.col("_row").alias("row")), items, window, 0, BLOCK_WORDS)
+    gone = hits.where(_n_hit() > most_hit * F.col("n_words")).select(F.col("row").alias("_hit"))
+    return keyed.join(gone, F.col("_row") == F.col("_hit"), "left_anti").drop("_row")

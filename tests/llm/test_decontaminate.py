@@ -79,6 +79,15 @@ def test_no_rows(spark, no_docs, odd_docs):
     assert {r["n_hit"] for r in summary(contamination(odd_docs, none)).collect()} == {0}
 
 
+def test_rows_that_share_an_id_or_have_none_are_judged_alone(spark):
+    hit, clean = "a b c d e f g h i j k", "z y x w v u t s r q p"
+    rows = [(None, hit), (None, clean), (None, None), (1, hit), (1, clean), (2, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(9, hit)], "item_id long, text string")
+    left = sorted((tuple(r) for r in excise(docs, items).collect()), key=str)
+    assert left == sorted([r for r in rows if r[1] != hit], key=str)
+
+
 def test_several_passes_give_the_rows_of_one(spark, odd_docs):
     rows = [(None, "a b c"), (None, "c b a"), (1, "a b c"), (1, "x y z"), (1, "a b c"), (2, None), (2, "")]
     items = [(1, "a b"), (2, "x y"), (3, "c b a"), (4, "b c")]
