@@ -84,10 +84,10 @@ def _shard_bounds(pages: DataFrame, shard_bytes: int) -> np.ndarray:
 
 
 def revisits(small: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """``(page_id, first)`` of ``small(page_id, digest, n_bytes)``: pages whose payload a smaller id has."""
+    """``(page_id, digest, place, first)`` of ``small(page_id, digest, place, n_bytes)``: payloads of pages that a smaller id has."""
     firsts = small.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("_last"))
     firsts = firsts.where(F.col("first") < F.col("_last")).select("digest", "first")
-    return small.join(firsts, "digest").where(F.col("page_id") > F.col("first")).select("page_id", "first")
+    return small.join(firsts, "digest").where(F.col("page_id") > F.col("first")).select("page_id", "digest", "place", "first")
 
 
 def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, level: int = LEVEL) -> DataFrame:
@@ -101,20 +101,20 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    small = stage(pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes")), "digests")
+    small = stage(pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.xxhash64("payload").alias("place"), F.octet_length("payload").cast("long").alias("n_bytes")), "digests")
     bounds = spark.sparkContext.broadcast(_shard_bounds(small, shard_bytes))
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds.value, ids.to_numpy(), side="right").astype(np.int32))
 
-    marks = revisits(small).distinct().select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first"))
-    rows = pages.withColumn("first", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63)))))
-    # one shuffle: a mark arrives just before the pages with its id
-    rows = rows.repartition(max(1, len(bounds.value) + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("payload").isNotNull(), "url", F.xxhash64("payload"))
+    marks = revisits(small).distinct().withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
+    rows = pages.withColumns({"place": F.xxhash64("payload"), "digest": F.lit(None).cast("string"), "first": F.lit(None).cast("long")}).unionByName(marks).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63)))))
+    # one shuffle: a mark arrives just before the rows with its id and payload
+    rows = rows.repartition(max(1, len(bounds.value) + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "place", F.col("payload").isNotNull(), "url")
 
     def run(batches):
-        writer, marked = None, (None, None)
+        writer, marked, firsts = None, None, {}
         for batch in pieces(batches, column="payload"):
             for row in batch.to_pylist():
                 if writer is None or writer.shard != row["shard"]:
@@ -122,9 +122,11 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_
                         yield from writer.end()
                     writer = _ShardWriter(out, row["shard"], file_bytes)
                 if row["payload"] is None:
-                    marked = (row["page_id"], row["first"])
+                    if marked != (row["page_id"], row["place"]):
+                        marked, firsts = (row["page_id"], row["place"]), {}
+                    firsts[row["digest"]] = row["first"]
                     continue
-                first = marked[1] if row["page_id"] is not None and marked[0] == row["page_id"] else None
+                first = firsts.get(hashlib.sha256(row["payload"]).hexdigest()) if marked == (row["page_id"], row["place"]) else None
                 yield from writer.add(member(record(row["page_id"], row["url"], row["payload"], first), level))
         if writer:
             yield from writer.end()

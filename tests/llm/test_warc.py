@@ -64,3 +64,15 @@ def test_record_round_trip_and_damage():
     assert list(members(pa.input_stream(pa.py_buffer(member(b"a") + member(b"b"))), 3)) == [b"a", b"b"]
     with pytest.raises(ValueError, match="cut short"):
         list(members(pa.input_stream(pa.py_buffer(member(b"abc" * 50)[:-9]))))
+
+
+def test_an_id_with_several_payloads(spark):
+    a, b, c = ("<p>" + x * 200 for x in "abc")
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, c), (3, "small"), (4, c), (4, "small"), (5, a), (5, a), (5, "other" * 50), (2, a), (None, a), (None, c)]
+    pages = spark.createDataFrame([(i, f"http://a/{k}", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    out = new_path(spark, "warc-test")
+    write_warc(pages, out)
+    got = read_warc(spark, out).collect()
+    want = brute([(i, h.encode()) for i, h in rows])
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == want
+    assert {r["payload"].decode() for r in got if r["record_type"] == "response"} == {h for _, h in rows}
