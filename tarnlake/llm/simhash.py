@@ -112,7 +112,7 @@ def simhash_groups(docs: DataFrame, size: int = 3, most_bits: int = MOST_BITS) -
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 #: MinHash bands and hashes in each. Two sets with a similarity of 0.8 share no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
-#: Of the lowest bits of all 128 minima, how many may differ. At 0.8 more differ with a probability of 3e-9; at 0.44 half of the pairs pass.
+#: Of the lowest bits of all 128 minima, how many may differ. At 0.8 more differ with a probability of 2e-9; at 0.44 half of the pairs pass.
 MOST_APART = 36
 _LANES = np.random.default_rng(SEED).integers(1 << 20, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
