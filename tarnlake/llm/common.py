@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +22,14 @@ FOLDS = 5
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is set in its place.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and
+    all executors are threads of this machine, as in tests, a temporary folder
+    is set in its place.
     """
     place = spark.conf.get(CHECKPOINT_DIR, None)
     if not place:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
         spark.conf.set(CHECKPOINT_DIR, place)
     return place.rstrip("/")
@@ -80,6 +86,70 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
 
 
+_U = np.uint64
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.where(SPACE, 0, np.random.default_rng(20).integers(1, 1 << 63, 256) * 2 + 1).astype(_U)
+_STEP = 0x9E3779B97F4A7C15
+_MIX = _U(0xBF58476D1CE4E5B9)
+_POWERS: list[np.ndarray] = []
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> _U(30)) * _MIX
+    return x ^ x >> _U(29)
+
+
+#: Longer spans are hashed one by one.
+_LONG_SPAN = 1 << 16
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes that ascend and have nothing but white space between them."""
+    if not len(begins):
+        return np.zeros(0, _U)
+    if (long := sizes > _LONG_SPAN).any():
+        out, kept, dropped = np.empty(len(begins), _U), np.ones(len(data), bool), np.cumsum(np.where(long, sizes, 0))
+        for i in np.flatnonzero(long).tolist():
+            span = slice(begins[i], begins[i] + sizes[i])
+            out[i], kept[span] = xxhash.xxh64_intdigest(data[span].tobytes()), False
+        out[~long] = span_hashes(data[kept], (begins - dropped)[~long], sizes[~long])
+        return out
+    if not _POWERS or len(_POWERS[0]) < len(data):
+        inverse = pow(_STEP, -1, 1 << 64)
+        _POWERS[:] = [np.cumprod(np.append(_U(1), np.full(max(len(data), 1 << 20) - 1, s, _U))) for s in (_STEP, inverse)]
+    step, back = _POWERS
+    return mix(np.add.reduceat(_BYTE[data] * step[: len(data)], begins) * back[begins] + sizes.astype(_U))
+
+
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def strips(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """``(first, parts)``: consecutive texts, or parts of a long one cut at white space, of about ``most`` bytes together."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > most:
+            cut = _BREAK.search(text, at + most)
+            if cut is None:
+                break
+            if held:
+                yield first, held
+                held, size = [], 0
+            yield i, [text[at : cut.end()]]
+            at = cut.end()
+        if not held:
+            first = i
+        held.append(text[at:] if at else text)
+        size += len(held[-1])
+        if size >= most:
+            yield first, held
+            held, size = [], 0
+    if held:
+        yield first, held
+
+
 class Forest:
     """Union-find over 0..n-1 whose roots are the smallest members."""
 

@@ -39,12 +39,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tarnlake.llm.common import pieces, stage, width
+from tarnlake.llm.common import SPACE, pieces, span_hashes, stage, strips, texts_of, width
 
 CAPACITY = 4096
 END = 1
-#: Distinct chunks of text whose ids a worker remembers, and the longest that it does.
+#: Units of text whose ids a worker remembers, and the longest that is merged here.
 REMEMBERED, LONGEST = 800_000, 64
 
 
@@ -187,34 +188,38 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``items``, which has ``length`` (1..capacity) and keeps its columns.
 
     ``items`` is read several times; give a table or something cheap. Within a
-    sequence the offsets have no gaps. An empty table gives an empty one.
+    sequence the offsets have no gaps. An empty table gives an empty one; columns
+    that have the two names already are replaced, any other names are left alone.
     """
     spark = items.sparkSession
     shares = max(1, width(spark))
-    plain = items.columns
-    salted = items.withColumn("_share", F.pmod(F.xxhash64(*plain), F.lit(shares)))
-    counts = salted.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1))
-    counts = stage(counts.select("length", "_share", F.coalesce(before, F.lit(0)).alias("_before"), "_n"), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    items = items.drop("sequence_id", "offset")
+    salted = items.select(F.struct("*").alias("row")).select("row", F.col("row.length").alias("length"))
+    salted = salted.withColumn("share", F.pmod(F.xxhash64("row"), F.lit(shares)))
+    counts = salted.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
+    counts = stage(counts.select("length", "share", F.coalesce(before, F.lit(0)).alias("before"), "n"), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_packing(histogram, capacity)
     table = np.array(sorted(plan.ranges), np.int64).reshape(-1, 6)
     shared = spark.sparkContext.broadcast(table)  # at most a few ranges for each length and bin pattern
-    rank = F.row_number().over(Window.partitionBy("length", "_share").orderBy(*plain))
-    ranked = salted.withColumn("_rank", rank).join(counts.drop("_n"), ["length", "_share"])
-    ranked = ranked.select(*plain, (F.col("_before") + F.col("_rank") - 1).cast("long").alias("_index"))
+    rank = F.row_number().over(Window.partitionBy("length", "share").orderBy("row"))
+    # the counts grow with the shares; rows are by length and share already, so that they move no more
+    ranked = salted.withColumn("rank", rank).join(counts.drop("n").hint("merge"), ["length", "share"])
+    ranked = ranked.select((F.col("before") + F.col("rank") - 1).cast("long").alias("index"), F.col("length").cast("long").alias("length"), "row")
+    names = [*items.columns, "sequence_id", "offset"]
 
     def run(batches):
         ranges = shared.value
         keys = ranges[:, 0] << 40 | ranges[:, 1]
         for batch in batches:
-            length, index = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "_index"))
+            index, length = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             row = ranges[np.searchsorted(keys, length << 40 | index, side="right") - 1]
             i = index - row[:, 1]
             to = [pa.array(row[:, 3] + i // row[:, 4]), pa.array(row[:, 5] + i % row[:, 4] * length)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in plain), *to], [*plain, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.column(2).flatten(), *to], names)
 
-    schema = items.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*items.schema, *StructType().add("sequence_id", "long").add("offset", "long")])
     return ranked.mapInArrow(run, schema)
 
 
@@ -293,12 +298,24 @@ class WordPieces:
         return out
 
 
+#: Kinds of bytes: white space, letters, digits, other ASCII; in what follows, a unit is one kind of byte but for digits, each on its own.
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KINDS = np.full(256, _ODD, np.uint8)
+_KINDS[:0x80] = [_LETTER if chr(x).isalpha() else _DIGIT if chr(x).isdigit() else _OTHER for x in range(0x80)]
+_KINDS[SPACE], _KINDS[ord("'")] = _SPACE, _ODD
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SLOTS = 1 << 21
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit bytes, by ``word_bpe_49k``-like tokenizers.
 
-    Their splits never cross white space, so ids of chunks between white space
-    are remembered, up to a bound. Common chunks are cut into words as the
-    tokenizer's pattern does and merged many at a time; it encodes others itself.
+    Their splits never cross white space. A chunk between white space of ASCII
+    without apostrophes and of Latin-1 letters is cut into units as the
+    tokenizer's pattern does; any other chunk is a unit as a whole. The ids of
+    units are remembered, up to a bound, in a hash table that is probed for all
+    units of some texts at once. Common new units are merged many at a time;
+    the tokenizer encodes others itself, and texts that hold special tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -306,55 +323,131 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            self.special = [x["content"].encode() for x in json.load(file)["added_tokens"]]
         self.merge = WordPieces(path)
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
+        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # ids of unit i are ids[begin[i]:begin[i + 1]]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        plain, odd = [], []
-        for c in chunks:
-            (plain if len(c) <= LONGEST and (c.isascii() or not _RARE.search(c)) else odd).append(c)
-        self.known.update(zip(odd, self.whole(odd), strict=True))
-        single, singles, several, parts = [], [], [], []
-        for c in plain:
-            x = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).lower()
-            if x.isalpha():
-                single.append(c)
-                singles.append(x)
-            else:
-                several.append(c)
-                parts.append((x[:-1], x[-1]) if x[:-1].isalpha() else tuple(_WORDS.findall(x)))
-        words = list(set(singles).union(*parts))
-        ids = dict(zip(words, self.merge([w.encode() for w in words]), strict=True)) if words else {}
-        self.known.update(zip(single, map(ids.__getitem__, singles), strict=True))
-        self.known.update((c, b"".join(map(ids.__getitem__, x))) for c, x in zip(several, parts, strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(x in t for x in _SEPARATORS) else t.split() for t in texts]
-        found = [None if x is None else list(map(self.known.get, x)) for x in split]
-        short = [f is not None and None in f for f in found]
-        new = list({c for x, f, s in zip(split, found, short, strict=True) if s for c, g in zip(x, f, strict=True) if g is None})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-        if new:
-            self.learn(new)
-        out = []
-        for text, x, f, s in zip(texts, split, found, short, strict=True):
-            if x is None:
-                out += self.whole([text])
-            else:
-                out.append(b"".join([self.known[c] if g is None else g for c, g in zip(x, f, strict=True)] if s else f))
+    def _odd(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without ASCII white space."""
+        split = [None if len(c) > LONGEST or _RARE.search(c) else _WORDS.findall(unicodedata.normalize("NFC", c).lower()) for c in chunks]
+        words = list(set().union(*filter(None, split)))
+        ids = dict(zip(words, self.merge([w.encode() for w in words]), strict=True))
+        rest = iter(self.whole([c for c, x in zip(chunks, split, strict=True) if x is None]))
+        return [next(rest) if x is None else b"".join(map(ids.__getitem__, x)) for x in split]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each unit, -1 for those not known."""
+        out = np.full(len(keys), -1, np.int32)
+        left, slot = np.arange(len(keys)), (keys >> np.uint64(20)).astype(np.int64) % _SLOTS
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.at[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) % _SLOTS
         return out
 
-
-#: The tokenizer's pattern; separators that str.split() alone takes for white space.
+    def _put(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Remember the ids of distinct new units."""
+        number = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(keys), dtype=np.int32)
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), "<u4"))
+        left, slot = np.arange(len(keys)), (keys >> np.uint64(20)).astype(np.int64) % _SLOTS
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[left[free]]  # of several in a slot one stays
+            own = self.keys[slot] == keys[left]
+            self.at[slot[own]] = number[left[own]]
+            left, slot = left[~own], (slot[~own] + 1) % _SLOTS
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        holds = [any(x in t for x in self.special) for t in texts]
+        special = [i for i, held in enumerate(holds) if held]
+        plain = [b"" if held else t for t, held in zip(texts, holds, strict=True)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for first, parts in strips(plain):
+            for i, ids in enumerate(self._strip(parts), first):
+                out[i].append(ids)
+        for i, ids in zip(special, self.whole([texts[i].decode() for i in special]), strict=True):
+            out[i] = [ids]
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _strip(self, texts: list[bytes]) -> list[bytes]:
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        kind, data = _KINDS[raw], _LOWER[raw]
+        lead = np.flatnonzero(raw == 0xC3)  # U+00C0 to U+00FF: letters but for two, the capitals 32 below the others
+        if len(lead):
+            lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+            kind[lead] = kind[lead + 1] = _LETTER
+            data[lead + 1] += np.where(raw[lead + 1] < 0x9F, np.uint8(0x20), np.uint8(0))
+        space = kind == _SPACE
+        edge = np.empty(len(raw), bool)
+        edge[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+        edge |= kind == _DIGIT
+        odd = np.flatnonzero(kind == _ODD)
+        is_odd = np.zeros(len(raw), bool)
+        if len(odd):  # whole chunks, as they are
+            gaps = np.flatnonzero(space)
+            after = np.unique(np.searchsorted(gaps, odd))
+            begins, ends = np.where(after > 0, gaps[after - 1] + 1, 0), gaps[after]
+            mark = np.zeros(len(raw) + 1, np.int8)
+            mark[begins] += 1
+            mark[ends] -= 1
+            is_odd = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
+            edge &= ~is_odd
+            edge[begins] = True
+            data = np.where(is_odd, raw, data)
+        first = np.flatnonzero(edge)
+        units = ~space[first]
+        size = np.diff(np.append(first, len(raw)))[units]
+        first = first[units]
+        keys = span_hashes(data, first, size) << np.uint64(1) | np.uint64(1)
+        keys ^= is_odd[first].astype(np.uint64) << np.uint64(7)
+        number = self._find(keys)
+        if len(new := np.flatnonzero(number < 0)):
+            new_keys, at = np.unique(keys[new], return_index=True)
+            if len(self.begin) + len(new_keys) > REMEMBERED:
+                self._forget()
+                new_keys, at = np.unique(keys, return_index=True)
+                new = np.arange(len(keys))
+            self._learn(new_keys, data, first[new[at]], size[new[at]], is_odd)
+            number[new] = self._find(keys[new])
+        begin = self.begin[number]
+        n = self.begin[number + 1] - begin
+        total = np.append(0, np.cumsum(n))
+        ids = self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])].astype("<u4").tobytes()
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        cuts = [0, *(4 * total[np.searchsorted(first, ends)]).tolist()]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, is_odd: np.ndarray) -> None:
+        flat = data.tobytes()
+        odd = is_odd[begins] | (sizes > LONGEST)
+        strings = [flat[a : a + n] for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+        ids: list[bytes] = [b""] * len(strings)
+        for which, found in (
+            (np.flatnonzero(~odd).tolist(), lambda x: self.merge(x)),
+            (np.flatnonzero(odd).tolist(), lambda x: self._odd([c.decode() for c in x])),
+        ):
+            for i, got in zip(which, found([strings[i] for i in which]), strict=True):
+                ids[i] = got
+        self._put(keys, ids)
+
+
+#: The tokenizer's pattern.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Beyond Latin, or lower-cased in a way of their own.
-_RARE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Beyond Latin, lower-cased in a way of their own, or white space for str.split() alone.
+_RARE = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -371,7 +464,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         stop = np.array([end], "<u4").tobytes()
         for batch in pieces(batches):
             rows: list[list] = [[] for _ in range(6)]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder([x or "" for x in batch.column("text").to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(texts_of(batch, "text")), strict=True):
                 ids += stop
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
