@@ -1,9 +1,10 @@
 """A deterministic sharded WARC writer, and a reader.
 
-Shards are ranges of the record id. Their bounds are taken from a sample that
-depends on the ids alone, so the same records always give the same files. A
-task sorts its shards by id and streams them into gzip members, one per
-record; a file is closed once its compressed size reaches a bound. It is
+Shards are ranges of the record id and, among records that share one, of a hash
+of the payload. Their bounds are taken from a sample that depends on these
+alone, so the same records always give the same files. Each shard is a
+partition of its own; its task sorts it by id and streams it into gzip members,
+one per record; a file is closed once its compressed size reaches a bound. It is
 written under a temporary name and renamed, so a repeated task replaces it with
 the same bytes; only what the manifest table lists is committed. Record headers
 and digests are made anew from the payload.
@@ -29,8 +30,9 @@ from tarnlake.llm.common import pieces, stage, width
 
 LEAST_REVISIT = 100
 SHARD_BYTES = 32 << 20
-MOST_SHARDS = 4096
-SAMPLED = 50_000
+#: Beyond so many, shards grow instead. Of the sample, about so many fall into a shard.
+MOST_SHARDS, PER_SHARD = 1 << 16, 16
+NO_ID = -(1 << 63)
 FILE_BYTES = 16 << 20
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
@@ -71,16 +73,36 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _shard_bounds(pages: DataFrame, shard_bytes: int) -> np.ndarray:
-    """First ids of the shards but the first. The sample holds about ``SAMPLED`` ids, whatever the rows."""
-    n, size = pages.agg(F.count(F.lit(1)), F.sum("n_bytes")).first()
-    shards = min(MOST_SHARDS, -(-(size or 0) // shard_bytes))
-    if shards < 2:
-        return np.zeros(0, np.int64)
-    every = -(-n // SAMPLED)
-    sample = pages.where("page_id is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0)
-    ids = np.array(sorted(r[0] for r in sample.select("page_id").distinct().collect()), np.int64)
-    return np.unique(ids[np.arange(1, shards) * len(ids) // shards]) if len(ids) else ids
+class Bounds:
+    """First ``(id, place)`` of the shards but the first, ascending."""
+
+    def __init__(self, ids: np.ndarray, places: np.ndarray) -> None:
+        self.ids, self.places = ids, places
+
+    @classmethod
+    def of(cls, pages: DataFrame, shard_bytes: int) -> Bounds:
+        """From ``pages(page_id, place, n_bytes)``, of which a sample comes to the driver, some rows for each shard."""
+        n, size = pages.agg(F.count(F.lit(1)), F.sum("n_bytes")).first()
+        shards = min(MOST_SHARDS, -(-(size or 0) // shard_bytes))
+        empty = np.zeros(0, np.int64)
+        if shards < 2:
+            return cls(empty, empty)
+        every = max(1, n // (shards * PER_SHARD))
+        keys = pages.select(F.coalesce("page_id", F.lit(NO_ID)).alias("id"), "place").where(F.pmod(F.xxhash64("id", "place"), F.lit(every)) == 0).toArrow()
+        ids, places = (keys.column(x).to_numpy() for x in ("id", "place"))
+        order = np.lexsort((places, ids))
+        at = np.arange(1, shards) * len(order) // shards
+        ids, places = ids[order][at[at < len(order)]], places[order][at[at < len(order)]]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (places[1:] != places[:-1]))[: len(ids)]
+        return cls(ids[new], places[new])
+
+    def shard(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """How many bounds are at or before each key."""
+        low, found = np.searchsorted(self.ids, ids), np.searchsorted(self.ids, ids, side="right")
+        for i in np.unique(low[found > low]).tolist():  # ids that bounds have: told apart by place
+            mine = np.flatnonzero((low == i) & (found > low))
+            found[mine] = i + np.searchsorted(self.places[i : found[mine[0]]], places[mine], side="right")
+        return found
 
 
 def revisits(small: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -97,21 +119,23 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_
     Of equal payloads of at least 100 bytes the smallest id keeps its payload
     and the others revisit it. A null html is an empty payload, a null url is
     left out, a page without id is a response that nothing refers to. Rows
-    that repeat an id are all written; an empty table gives an empty manifest.
+    that repeat an id are all written, each with its own payload or, if a
+    smaller id has that payload, a mark of it; other columns are left out; an
+    empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     small = stage(pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.xxhash64("payload").alias("place"), F.octet_length("payload").cast("long").alias("n_bytes")), "digests")
-    bounds = spark.sparkContext.broadcast(_shard_bounds(small, shard_bytes))
+    bounds = spark.sparkContext.broadcast(Bounds.of(small, shard_bytes))
 
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, ids.to_numpy(), side="right").astype(np.int32))
+    def shard_of(ids: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series(bounds.value.shard(ids.to_numpy(), places.to_numpy()).astype(np.int32))
 
     marks = revisits(small).distinct().withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
-    rows = pages.withColumns({"place": F.xxhash64("payload"), "digest": F.lit(None).cast("string"), "first": F.lit(None).cast("long")}).unionByName(marks).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63)))))
+    rows = pages.withColumns({"place": F.xxhash64("payload"), "digest": F.lit(None).cast("string"), "first": F.lit(None).cast("long")}).unionByName(marks).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(NO_ID)), "place"))
     # one shuffle: a mark arrives just before the rows with its id and payload
-    rows = rows.repartition(max(1, len(bounds.value) + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "place", F.col("payload").isNotNull(), "url")
+    rows = rows.repartitionById(len(bounds.value.ids) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "place", F.col("payload").isNotNull(), "url")
 
     def run(batches):
         writer, marked, firsts = None, None, {}
@@ -228,7 +252,7 @@ def read_warc(spark: SparkSession, out: str, with_payload: bool = True) -> DataF
                     if held:
                         yield pa.RecordBatch.from_pylist(held, target)
 
-    return manifest.select("path", "sha256").repartition(width(spark), "path").mapInArrow(run, schema)
+    return manifest.select("path", "sha256").repartition(width(spark)).mapInArrow(run, schema)
 
 
 class _Digested:

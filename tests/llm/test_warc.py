@@ -5,7 +5,7 @@ import pytest
 
 from tarnlake.llm import queries
 from tarnlake.llm.common import new_path
-from tarnlake.llm.warc import member, members, parse, read_warc, record, write_warc
+from tarnlake.llm.warc import Bounds, member, members, parse, read_warc, record, write_warc
 from tests.conftest import SF
 
 
@@ -56,6 +56,24 @@ def test_no_rows(spark, pages):
     assert read_warc(spark, out).collect() == []
 
 
+def test_bounds_tell_one_id_apart_by_payload():
+    import numpy as np
+
+    bounds = Bounds(np.array([3, 7, 7, 7, 9]), np.array([5, -4, 0, 8, 2]))
+    keys = [(i, p) for i in range(11) for p in range(-6, 12)]
+    got = bounds.shard(*(np.array(x) for x in zip(*keys)))
+    assert got.tolist() == [sum((a, b) <= k for a, b in zip(bounds.ids.tolist(), bounds.places.tolist())) for k in keys]
+
+
+def test_a_hot_id_goes_to_several_shards(spark):
+    rows = [(1 if i % 3 else None, f"http://a/{i}", f"{i} " * 300) for i in range(90)] + [(0, "x", "0 " * 300)]
+    out = new_path(spark, "warc-test")
+    manifest = write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), out, shard_bytes=5000)
+    assert max(r["records"] for r in manifest.collect()) < 30
+    got = read_warc(spark, out).collect()
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == brute([(i, h.encode()) for i, _, h in rows])
+
+
 def test_record_round_trip_and_damage():
     data = record(7, "http://x/é", b"body\r\n\r\n" * 9, None)
     assert parse(data)["payload"] == b"body\r\n\r\n" * 9
