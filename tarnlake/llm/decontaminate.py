@@ -1,17 +1,20 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is sharded by document: a row of it holds, for a few thousand
-documents, the ascending word positions of each term. Terms are those that the
-benchmark uses; other words only advance the position. A search goes shard by
-shard, starts from the postings of a window's rarest term in that shard and
-intersects them, shifted by the terms' offsets, with the next rarer ones. Work
-is spread as the documents are, without a shuffle, whatever terms are frequent.
+The index is sharded by document, as a large search engine's is: a row of it
+holds, for a few thousand documents, the ascending word positions of each term.
+Terms are those that the benchmark uses; other words only advance the position.
+A search goes shard by shard. Windows with a term that the shard lacks are out
+at once; each other one fetches the postings of its rarest term in that shard,
+which are intersected, shifted by the terms' offsets, with the next rarer ones,
+for all windows together. Work is spread as the documents are, without a
+shuffle, whatever terms are frequent.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -24,7 +27,9 @@ from tarnlake.llm.common import pieces, stage, texts_of
 
 WINDOW = 10
 #: Words of benchmark items that one pass over the index looks for.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+#: Candidates that are compared at once.
+AT_ONCE = 1 << 21
 #: Positions left free between documents, so that no match runs across.
 APART = 64
 _WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -99,79 +104,99 @@ def _with_nulls(ids: pa.Array) -> np.ndarray:
     return pc.fill_null(ids, int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+@dataclass
+class Windows:
+    """Distinct windows: ``terms`` (a row each, -1 behind shorter ones), and the items of each."""
+
+    terms: np.ndarray
+    item_begins: np.ndarray
+    items: np.ndarray
+    n_terms: int
+
+    def sizes(self) -> np.ndarray:
+        return (self.terms >= 0).sum(axis=1)
+
+
+def windows_of(block: list[tuple[int, list[bytes]]], window: int = WINDOW) -> tuple[dict[bytes, int], Windows]:
+    """The vocabulary of a block and its windows; a shorter item is one window."""
+    vocabulary: dict[bytes, int] = {}
+    found: dict[tuple[int, ...], set[int]] = {}
+    for item_id, text in block:
+        terms = [vocabulary.setdefault(w, len(vocabulary)) for w in text]
+        for i in range(max(1, len(terms) - window + 1)):
+            found.setdefault(tuple(terms[i : i + window]), set()).add(item_id)
+    terms = np.full((len(found), window), -1, np.int32)
+    for row, phrase in zip(terms, found, strict=True):
+        row[: len(phrase)] = phrase
+    begins = np.cumsum([0, *map(len, found.values())])
+    return vocabulary, Windows(terms, begins, np.array([x for items in found.values() for x in sorted(items)], np.int64), len(vocabulary))
+
+
 class Shard:
     """A row of the index, opened."""
 
     def __init__(self, row: dict) -> None:
         read = np.frombuffer
         self.rows, self.doc_ids, self.n_words, self.begins = (read(row[k], np.int64) for k in ("rows", "doc_ids", "n_words", "begins"))
-        terms, offsets, steps = read(row["terms"], np.int32), read(row["offsets"], np.int64), read(row["positions"], np.int32)
-        self.lists = {int(t): (int(a), int(b)) for t, a, b in zip(terms, offsets[:-1], offsets[1:], strict=True)}
+        self.terms, self.offsets, steps = read(row["terms"], np.int32), read(row["offsets"], np.int64), read(row["positions"], np.int32)
         sums = np.cumsum(steps, dtype=np.int64)
-        if len(terms):
-            before = np.where(offsets[:-1] > 0, sums[offsets[:-1] - 1], 0)
-            sums -= np.repeat(before, np.diff(offsets))
+        if len(self.terms):
+            before = np.where(self.offsets[:-1] > 0, sums[self.offsets[:-1] - 1], 0)
+            sums -= np.repeat(before, np.diff(self.offsets))
         self.positions = sums
+        #: All postings by term and position, as one integer.
+        self.keys = np.repeat(self.terms.astype(np.int64), np.diff(self.offsets)) << 40 | sums
 
-    def postings(self, term: int) -> np.ndarray:
-        a, b = self.lists.get(term, (0, 0))
-        return self.positions[a:b]
-
-    def find(self, phrase: tuple[int, ...], slop: int = 0) -> np.ndarray:
-        """Where the phrase begins: each term within ``slop`` words of its place in the phrase.
+    def find(self, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences: the window, where it begins, and the place of its rarest term.
 
-        Lists are intersected from the rarest on. With ``slop`` 0 the matches are exact.
+        Each term is within ``slop`` words of its place in the window; with 0 the matches are exact.
         """
-        lists = sorted(((self.postings(t), j) for j, t in enumerate(phrase)), key=lambda x: len(x[0]))
-        first, j = lists[0]
-        if not len(first):
-            return first
-        starts = first - j
-        for held, j in lists[1:]:
-            low = np.searchsorted(held, starts + (j - slop))
-            near = held[np.minimum(low, len(held) - 1)]
-            starts = starts[(low < len(held)) & (near <= starts + (j + slop))]
-            if not len(starts):
-                break
-        return starts
-
-
-def windows_of(block: list[tuple[int, list[bytes]]], window: int = WINDOW) -> tuple[dict[bytes, int], dict[tuple[int, ...], list[int]]]:
-    """The vocabulary of a block, and the items of each distinct window in it; a shorter item is one window."""
-    vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[int]] = {}
-    for item_id, text in block:
-        terms = [vocabulary.setdefault(w, len(vocabulary)) for w in text]
-        for i in range(max(1, len(terms) - window + 1)):
-            found.setdefault(tuple(terms[i : i + window]), set()).add(item_id)
-    return vocabulary, {k: sorted(v) for k, v in found.items()}
+        begin, count = np.zeros(windows.n_terms + 1, np.int64), np.zeros(windows.n_terms + 1, np.int64)
+        begin[self.terms], count[self.terms] = self.offsets[:-1], np.diff(self.offsets)
+        count[-1] = np.iinfo(np.int64).max  # of the places behind short windows
+        lists = count[windows.terms]
+        which = np.flatnonzero(lists.min(axis=1) > 0) if len(lists) else np.zeros(0, np.int64)
+        order = np.argsort(lists[which], axis=1, kind="stable")
+        rarest = np.take_along_axis(windows.terms[which], order, axis=1)
+        ends = np.cumsum(count[rarest[:, 0]]) if len(which) else which
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for at in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+            posting = np.arange(at, min(at + AT_ONCE, int(ends[-1])))
+            w = np.searchsorted(ends, posting, side="right")
+            place = self.positions[begin[rarest[w, 0]] + posting - (ends - count[rarest[:, 0]])[w]]
+            start = place - order[w, 0]
+            for k in range(1, windows.terms.shape[1]):
+                term = rarest[w, k].astype(np.int64)
+                wanted = (term << 40) + start + order[w, k]
+                near = np.searchsorted(self.keys, wanted - slop)
+                held = (term < 0) | (self.keys[np.minimum(near, len(self.keys) - 1)] <= wanted + slop) & (near < len(self.keys))
+                w, start, place = w[held], start[held], place[held]
+            for to, x in zip(out, (which[w], start, place), strict=True):
+                to.append(x)
+        return tuple(np.concatenate(x) for x in out)
 
 
 HITS = "row long, doc_id long, n_words long, begins array<int>, ends array<int>, items array<long>"
 
 
-def search(index: DataFrame, phrases: dict[tuple[int, ...], list[int]], slop: int = 0) -> DataFrame:
-    """A row per document: its words, the word ranges that phrases cover (merged), and their items."""
-    shared = index.sparkSession.sparkContext.broadcast(list(phrases.items()))
+def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
+    """A row per document: its words, the word ranges that windows cover (merged), and their items."""
+    shared = index.sparkSession.sparkContext.broadcast(windows)  # a block of the benchmark
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row)
-                starts, sizes, which = [], [], []
-                for k, (phrase, _) in enumerate(shared.value):
-                    if len(got := shard.find(phrase, slop)):
-                        starts.append(got)
-                        sizes.append(np.full(len(got), len(phrase)))
-                        which.append(np.full(len(got), k))
-                yield _per_document(shard, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, sizes, which)), shared.value)
+                yield _per_document(shard, *shard.find(shared.value, slop), shared.value)
 
     return index.mapInArrow(run, HITS)
 
 
-def _per_document(shard: Shard, starts, sizes, which, phrases) -> pa.RecordBatch:
+def _per_document(shard: Shard, which, starts, places, windows: Windows) -> pa.RecordBatch:
     n = len(shard.doc_ids)
-    doc = np.searchsorted(shard.begins, starts, side="right") - 1
+    doc = np.searchsorted(shard.begins, places, side="right") - 1
+    sizes = windows.sizes()[which]
     begins, ends, items = [[] for _ in range(n)], [[] for _ in range(n)], [set() for _ in range(n)]
     for i in np.lexsort((sizes, starts)).tolist():
         d = int(doc[i])
@@ -182,7 +207,8 @@ def _per_document(shard: Shard, starts, sizes, which, phrases) -> pa.RecordBatch
         else:
             begins[d].append(a)
             ends[d].append(b)
-        items[d].update(phrases[which[i]][1])
+        w = which[i]
+        items[d].update(windows.items[windows.item_begins[w] : windows.item_begins[w + 1]].tolist())
     ids = pa.array([None if x == NO_ID else int(x) for x in shard.doc_ids], pa.int64())
     return pa.RecordBatch.from_arrays(
         [pa.array(shard.rows), ids, pa.array(shard.n_words), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
@@ -208,10 +234,11 @@ def _hits(keyed: DataFrame, items: DataFrame, window: int, slop: int, block_word
     for block in benchmark_blocks(items, block_words):
         if not passes and sum(len(x) for _, x in block) >= block_words:
             keyed = stage(keyed, "keyed")  # there may be more passes, in which rows must have the same keys
-        vocabulary, phrases = windows_of(block, window)
-        passes.append(search(stage(build_index(keyed, vocabulary), "index"), phrases, slop))
+        vocabulary, windows = windows_of(block, window)
+        passes.append(search(stage(build_index(keyed, vocabulary), "index"), windows, slop))
     if not passes:
-        return search(build_index(keyed, {}), {}, slop)
+        vocabulary, windows = windows_of([], window)
+        return search(build_index(keyed, vocabulary), windows, slop)
     return passes[0] if len(passes) == 1 else _merged(reduce(DataFrame.unionByName, passes))
 
 
@@ -258,7 +285,7 @@ def excise(docs: DataFrame, items: DataFrame, most_hit: float = 0.0, window: int
     Columns stay as they are. A document without words is kept. Each row is
     judged by its own text, whether it has a doc_id, shares one or has none.
     """
-    keyed = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    hits = _hits(keyed.select("doc_id", "text", F.col("_row").alias("row")), items, window, 0, BLOCK_WORDS)
-    gone = hits.where(_n_hit() > most_hit * F.col("n_words")).select(F.col("row").alias("_hit"))
-    return keyed.join(gone, F.col("_row") == F.col("_hit"), "left_anti").drop("_row")
+    keyed = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "keyed")
+    hits = _hits(keyed.select("doc.doc_id", "doc.text", "row"), items, window, 0, BLOCK_WORDS)
+    gone = hits.where(_n_hit() > most_hit * F.col("n_words")).select("row")
+    return keyed.join(gone, "row", "left_anti").select("doc.*")
