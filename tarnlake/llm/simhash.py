@@ -112,8 +112,10 @@ def simhash_groups(docs: DataFrame, size: int = 3, most_bits: int = MOST_BITS) -
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 #: MinHash bands and hashes in each. Two sets with a similarity of 0.8 share no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
-#: Of the lowest bits of all 128 minima, how many may differ. At 0.8 more differ with a probability of 2e-9; at 0.44 half of the pairs pass.
-MOST_APART = 36
+#: Of the lowest bits of all 128 minima, how many may differ. At 0.8 more differ with a probability of 2e-6; at 0.53 half of the pairs pass.
+MOST_APART = 30
+#: Texts of a bucket that one task compares with each other, and nearest ones of a text that are verified at first.
+HOT, NEAREST = 1024, 4
 _LANES = np.random.default_rng(SEED).integers(1 << 20, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -148,9 +150,9 @@ def lowest_bits(least: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """All distinct shingle hashes, in 32 bits."""
-    found = [(x >> np.uint64(32)).astype(np.uint32) for x in shingle_hashes(text, size)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
+    """All distinct shingle hashes."""
+    found = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -159,76 +161,121 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
-def _nearest(rep, tree, apart, mine):
-    """From each text to its nearest one before it and to the nearest of all."""
-    far = np.where(tree[mine, None] == tree[None, :], 999, apart)
-    before = np.where(rep[None, :] < rep[mine, None], far, 999)
-    row, us, vs = np.arange(len(far)), [], []
-    for d in (far, before):
-        near = d.argmin(axis=1)
-        good = d[row, near] <= MOST_APART
-        us.append(rep[mine][good])
-        vs.append(rep[near[good]])
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def _all(rep, tree, apart, mine):
-    """Every pair of texts that are not in one tree."""
-    i, j = np.nonzero((apart <= MOST_APART) & (tree[mine, None] != tree[None, :]) & (rep[None, :] < rep[mine, None]))
-    return rep[mine][i], rep[j]
-
-
-def _bucket_edges(batches, choose):
-    """Edges within buckets, between texts of different trees and at most MOST_APART bits away, that ``choose`` takes."""
-
-    def batch_of(u, v):
-        pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["u", "v"])
-
-    def flush(rows):
-        keys, lows, highs, reps, trees = (np.concatenate(x) for x in zip(*rows, strict=True))
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        size = np.diff(np.append(first, len(keys)))
-        a = first[size == 2]
-        apart = np.bitwise_count(lows[a] ^ lows[a + 1]).astype(np.int16) + np.bitwise_count(highs[a] ^ highs[a + 1])
-        a = a[(apart <= MOST_APART) & (trees[a] != trees[a + 1])]
-        us, vs, held = [reps[a]], [reps[a + 1]], len(a)
-        for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-            order = a + np.argsort(reps[a : a + n], kind="stable")
-            low, high, rep, tree = lows[order], highs[order], reps[order], trees[order]
-            if (tree == tree[0]).all():
-                continue
-            for at in range(0, n, 512):
-                mine = slice(at, at + 512)
-                apart = np.bitwise_count(low[mine, None] ^ low[None, :]).astype(np.int16) + np.bitwise_count(high[mine, None] ^ high[None, :])
-                u, v = choose(rep, tree, apart, mine)
-                us.append(u)
-                vs.append(v)
-                held += len(u)
-                if held > 1 << 20:
-                    yield batch_of(np.concatenate(us), np.concatenate(vs))
-                    us, vs, held = [], [], 0
-        if us:
-            yield batch_of(np.concatenate(us), np.concatenate(vs))
-
-    held: list[tuple] = []
+class _Rows:
+    """Rows of buckets as arrays: ``key`` and ``cell`` of the bucket, the bits ``low`` and ``high`` of a text, and more."""
+
+    def __init__(self, columns: dict[str, np.ndarray]) -> None:
+        self.columns = columns
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def take(self, at) -> _Rows:
+        return _Rows({k: x[at] for k, x in self.columns.items()})
+
+    @staticmethod
+    def joined(parts: list[_Rows]) -> _Rows:
+        return _Rows({k: np.concatenate([p.columns[k] for p in parts]) for k in parts[0].columns})
+
+    def apart(self, i, j) -> np.ndarray:
+        return np.bitwise_count(self.low[i] ^ self.low[j]).astype(np.int16) + np.bitwise_count(self.high[i] ^ self.high[j])
+
+
+def _buckets(batches, names: list[str]):
+    """Rows of whole buckets, some at a time, from rows sorted by key and cell."""
+    held: list[_Rows] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, low, high, rep, tree = (batch.column(x).to_numpy() for x in ("key", "low", "high", "rep", "tree"))
-        part = (key, low.view(np.uint64), high.view(np.uint64), rep, tree)
-        if held and held[-1][0][-1] != key[0]:
-            yield from flush(held)
+        part = _Rows({x: batch.column(x).to_numpy().view(np.uint64) if x in ("low", "high") else batch.column(x).to_numpy() for x in names})
+        if held and (held[-1].key[-1], held[-1].cell[-1]) != (part.key[0], part.cell[0]):
+            yield _Rows.joined(held)
             held = []
-        others = np.flatnonzero(key != key[-1])
+        others = np.flatnonzero((part.key != part.key[-1]) | (part.cell != part.cell[-1]))
         cut = int(others[-1]) + 1 if len(others) else 0
         if cut:  # what is left may go on in the next batch
-            held.append(tuple(x[:cut] for x in part))
-            yield from flush(held)
+            yield _Rows.joined([*held, part.take(slice(0, cut))])
             held = []
-        held.append(tuple(x[cut:] for x in part))
+        held.append(part.take(slice(cut, None)))
     if held:
-        yield from flush(held)
+        yield _Rows.joined(held)
+
+
+def _compared(rows: _Rows):
+    """Bounds of the buckets of two in ``rows``, then a row of each with all of a larger bucket, some rows at a time."""
+    first = np.flatnonzero(np.concatenate(([True], (rows.key[1:] != rows.key[:-1]) | (rows.cell[1:] != rows.cell[:-1]))))
+    size = np.diff(np.append(first, len(rows.key)))
+    two = first[size == 2]
+    yield two, two + 1
+    for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+        for at in range(a, a + n, 512):
+            yield np.arange(at, min(at + 512, a + n))[:, None], np.arange(a, a + n)[None, :]
+
+
+def _nearest_pairs(batches):
+    """From each text to its nearest one in a bucket and the nearest with a smaller id, ``(u, v, apart)``; to itself if a bucket's other blocks may hold more."""
+    for rows in _buckets(batches, NEAR):
+        us, vs, ds = [], [], []
+        for i, j in _compared(rows):
+            far = rows.apart(i, j)
+            if i.ndim == 1:
+                us += [rows.rep[i], rows.rep[j]]
+                vs += [rows.rep[j], rows.rep[i]]
+                ds += [far, far]
+                continue
+            far = np.where(i == j, 999, far)
+            mine = rows.rep[i[:, 0]]
+            for d in (far, np.where(rows.rep[j] < mine[:, None], far, 999)):
+                near = d.argmin(axis=1)
+                us.append(mine)
+                vs.append(rows.rep[j[0, near]])
+                ds.append(d[np.arange(len(near)), near])
+        some = rows.rep[rows.blocks > 1]
+        u, v, d = (np.concatenate(x) for x in ([*us, some], [*vs, some], [*ds, np.zeros(len(some))]))
+        kept = d <= MOST_APART
+        yield pa.RecordBatch.from_arrays([pa.array(u[kept], pa.int64()), pa.array(v[kept], pa.int64()), pa.array(d[kept], pa.int32())], ["u", "v", "apart"])
+
+
+NEAR = ["key", "cell", "low", "high", "rep", "blocks"]
+
+
+def _other_pairs(least: float):
+    """All pairs of different trees whose shared shingles allow for a similarity of ``least``, ``(u, v)``."""
+
+    def run(batches):
+        for rows in _buckets(batches, [*NEAR, "block", "tree", "size", "shared"]):
+            for i, j in _compared(rows):
+                both = np.minimum(rows.shared[i], rows.shared[j])
+                met = (rows.tree[i] != rows.tree[j]) & (rows.apart(i, j) <= MOST_APART) & (both * (1 + least) >= least * (rows.size[i] + rows.size[j]) - 1e-6)
+                # of two blocks, rows of the same one meet elsewhere
+                met &= (rows.block[i] != rows.block[j]) | (rows.cell[i] // rows.blocks[i] == rows.cell[i] % rows.blocks[i])
+                if i.ndim == 1:
+                    a, b = i[met], j[met]
+                else:
+                    met &= rows.rep[j] < rows.rep[i]
+                    x, y = np.nonzero(met)
+                    a, b = i[x, 0], j[0, y]
+                u, v = np.maximum(rows.rep[a], rows.rep[b]), np.minimum(rows.rep[a], rows.rep[b])
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _dealt(texts: DataFrame, pairs: bool) -> DataFrame:
+    """``texts``, which have ``keys``, by bucket. Buckets of many texts are dealt in blocks; with ``pairs`` each pair of blocks meets in a cell."""
+    buckets = texts.select("*", F.explode("keys").alias("key")).drop("keys")
+    many = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("blocks")).where("blocks > 1").select(F.col("key").alias("hot"), "blocks")
+    buckets = buckets.join(stage(many, "hot"), F.col("key") == F.col("hot"), "left").drop("hot").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    buckets = buckets.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))
+    if not pairs:
+        return buckets.withColumn("cell", F.col("block"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least("block", j) * F.col("blocks") + F.greatest("block", j))
+    return buckets.withColumn("cell", F.explode(cells))
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
@@ -237,9 +284,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     Texts meet in a bucket if the minima of a band of MinHashes of their
     five-word shingles are equal, which finds any two with a similarity of 0.8,
     whatever their lengths and wherever they differ, but for one pair in
-    20 million. At first a bucket gives each text's nearest partners, and those
-    whose five-word shingles are similar enough are linked to trees; then it gives
-    all pairs between trees that were not compared yet.
+    20 million. At first the nearest partners of each text are compared on
+    their whole sets of shingles, and those that are similar enough are linked
+    to trees. Of a text in a bucket with other trees, the shingles that any
+    other tree has as well are counted: they bound its similarity to any text
+    there. All pairs between trees that this bound allows are then compared too.
     Equal texts are one row before that. Null texts count as empty; empty texts
     are copies of each other. Rows without doc_id are left out; a doc_id with
     several texts is one node, linked if any of them is.
@@ -260,29 +309,37 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     described = stage(rows.mapInArrow(describe, "doc_id long, same binary, low long, high long, keys array<long>"), "described")
     reps = stage(described.groupBy("same", "low", "high", "keys").agg(F.min("doc_id").alias("rep")), "reps")
 
-    def pairs(texts, choose):
-        buckets = texts.select("rep", "tree", "low", "high", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
-        return buckets.mapInArrow(lambda batches: _bucket_edges(batches, choose), "u long, v long").distinct()
-
     def whole(batches):
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(x).tobytes() for x in texts_of(batch, "text")], pa.binary())], ["id", "shingles"])
+            sets = [shingle_set(x) for x in texts_of(batch, "text")]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["id", "shingles"])
 
     def verify(batches):
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(k).to_pylist()] for k in ("shingles_u", "shingles_v"))
+            a, b = ([x.values.to_numpy().view(np.uint64) for x in batch.column(k)] for k in ("shingles_u", "shingles_v"))
             yield batch.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    edges = stage(pairs(reps.withColumn("tree", F.col("rep")), _nearest), "candidates")
+    near = _in_buckets(_dealt(reps.select("rep", "low", "high", "keys"), pairs=False).select(*NEAR)).mapInArrow(_nearest_pairs, "u long, v long, apart int")
+    near = near.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "v"))), 1, NEAREST + 1).alias("near"))
+    edges = stage(near.select(F.col("u").alias("a"), F.explode("near.v").alias("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "candidates")
     ids = stage(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
-    # whole shingle sets of the texts that have candidates
-    sets = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(whole, "id long, shingles binary")
+    # whole shingle sets of the texts that may have partners
+    sets = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(whole, "id long, shingles array<long>")
     sets = stage(sets.repartition("id").distinct(), "sets")
     of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}"))
     linked = lambda edges: edges.join(of("u"), "u").join(of("v"), "v").mapInArrow(verify, "u long, v long")
-    groups = components(linked(edges))
-    trees = reps.join(ids, F.col("rep") == F.col("id"), "left_semi").join(groups, F.col("rep") == F.col("node"), "left").withColumn("tree", F.coalesce("component", "rep"))
-    others = stage(pairs(trees, _all).join(edges, ["u", "v"], "left_anti"), "candidates")
+    groups = components(linked(edges.where("u <> v")))
+    trees = reps.join(ids, F.col("rep") == F.col("id"), "left_semi").join(groups, F.col("rep") == F.col("node"), "left")
+    trees = stage(trees.select("rep", "low", "high", "keys", F.coalesce("component", "rep").alias("tree")), "trees")
+    mixed = lambda rows, key: rows.groupBy(key).agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select(key)
+    keyed = trees.select("rep", "tree", F.explode("keys").alias("key"))
+    alive = stage(keyed.join(mixed(keyed, "key"), "key", "left_semi").select("rep", "tree").distinct(), "alive")
+    shingles = alive.join(sets, F.col("rep") == F.col("id")).select("rep", "tree", F.size("shingles").alias("size"), F.explode_outer("shingles").alias("shingle"))
+    shared = shingles.join(mixed(shingles, "shingle"), "shingle", "left_semi").groupBy("rep").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("shared"))
+    shared = stage(shared.where(F.col("shared") >= least * F.col("size") - 1e-6), "shared")
+    others = _in_buckets(_dealt(trees.join(shared, "rep"), pairs=True)).select(*NEAR, "block", "tree", "size", "shared").mapInArrow(_other_pairs(least), "u long, v long")
+    others = stage(others.distinct().join(edges, ["u", "v"], "left_anti"), "candidates")
     more = stage(linked(others), "links")
     if not more.isEmpty():
         groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
@@ -295,5 +352,5 @@ def drop_near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> Da
 
     Rows that share a doc_id stay or go together; rows without doc_id stay.
     """
-    gone = near_duplicates(docs, least).where("doc_id <> kept_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, least).where("doc_id <> kept_id").select(F.col("doc_id").alias("gone"))
+    return docs.select(F.struct("*").alias("doc")).join(gone, F.col("doc.doc_id") == F.col("gone"), "left_anti").select("doc.*")
