@@ -368,7 +368,7 @@ def _digest(text: bytes, kept: bytes, spans: int) -> tuple:
     return len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()
 
 
-def _finish(clean: bool, names: list[str]):
+def _finish(clean: bool):
     def run(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
         of, begins, sizes = (np.concatenate([np.zeros(0, np.int64), *map(_unsqueeze, spans.column(c).to_pylist())]) for c in ("ranks", "begins", "sizes"))
         order = np.argsort(of)
@@ -384,11 +384,10 @@ def _finish(clean: bool, names: list[str]):
                 kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if len(low) else text
                 made.append(kept.decode("utf-8", "ignore") if clean else (doc_id, *_digest(text, kept, len(low))))
         if clean:
-            found = docs.select(names)
-            at = names.index("text")
-            old = found.column(at)
-            whole = pa.chunked_array([pa.array([None if o is None and not t else t for o, t in zip(old.to_pylist(), made, strict=True)], old.type)])
-            return found.set_column(at, "text", whole)
+            found = docs.select(["rest", "text"])
+            old = found.column("text")
+            whole = pa.array([None if o is None and not t else t for o, t in zip(old.to_pylist(), made, strict=True)], old.type)
+            return found.set_column(1, "text", pa.chunked_array([whole]))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.table([pa.array(x, k) for x, k in zip(zip(*made, strict=True) if made else [[]] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -397,27 +396,29 @@ def _finish(clean: bool, names: list[str]):
 
 def _repeats(docs: DataFrame, length: int, clean: bool) -> DataFrame:
     spark = docs.sparkSession
-    names = docs.columns
-    whole = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")) if not clean else docs
-    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    # other columns go along as one, so that their names meet no others
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest.alias("rest")] if clean else []))
+    size = whole.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = width(spark)
     groups = max(2 * parts, -(-size // GROUP_BYTES)) | 1
     buckets = min(1 << 15, max(min(parts, 12), size // NAME_BYTES))
     places = max(parts, -(-size // RUN_BYTES))
     doc: Column = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit((1 << 62) - 57))
-    columns = names if clean else ["doc_id", "text"]
-    keyed = whole.where("doc_id is not null").select(*columns, doc.alias("doc"), (doc % F.lit(groups)).cast("int").alias("grp"))
+    keyed = whole.where("doc_id is not null").select("*", doc.alias("doc"), (doc % F.lit(groups)).cast("int").alias("grp"))
     found = _shared_names(_send_names(keyed, buckets, length), groups)
     by_group = keyed.groupBy("grp")
     sent = by_group.cogroup(found.groupBy("grp")).applyInArrow(_send_runs(places, buckets, length), SENT)
     spans = _match(sent, length)
-    schema = whole.schema if clean else DIGEST
-    done = by_group.cogroup(spans.groupBy("grp")).applyInArrow(_finish(clean, names), schema)
+    schema = whole.select("rest", "text").schema if clean else DIGEST
+    done = by_group.cogroup(spans.groupBy("grp")).applyInArrow(_finish(clean), schema)
     none = whole.where("doc_id is null")
-    if not clean:
-        text = F.coalesce("text", F.lit("")).cast("binary")
-        zero = F.lit(0).cast("long")
-        none = none.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    if clean:
+        kind = docs.schema["text"].dataType
+        return done.unionByName(none.select("rest", "text")).select(*(F.col("text").cast(kind).alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    zero = F.lit(0).cast("long")
+    none = none.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
     return done.unionByName(none)
 
 
@@ -435,7 +436,7 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs``, all columns, without the repeats in ``text``.
 
-    What is left of a character that is cut goes too; a null text stays null. A
-    ``doc_id`` of type long and a ``text`` of type string are asked for.
+    What is left of a character that is cut goes too; a null text stays null.
+    Other columns may have any names.
     """
     return _repeats(docs, length, clean=True)

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, fp string, piece string"
+CLASHING = "row doc grp rest gone hit _gone _hit _row _share share same id kind shard token keys length_ before index node component tree key words n_words begins items".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, fp string, piece string, " + ", ".join(f"`{x}` long" for x in CLASHING)
 
 
 @pytest.fixture(scope="session")
@@ -16,7 +17,7 @@ def odd_docs(spark):
     texts += [texts[4], texts[4], " ".join(near), "x " * 30000, "", " \t\n", None, "é" * 60, "one  two\tthree", "\x1cq  r", texts[6][:900] + " cut"]
     rows = [(i * 3 % 37, t, None, "s", None, 1, "fp", None) for i, t in enumerate(texts)]
     rows += [(None, "no id at all", None, None, None, None, None, None), (3, texts[1], "en", "s", 1, 1, "a", "b")]
-    return spark.createDataFrame(rows, DOCS).repartition(3)
+    return spark.createDataFrame([(*r, *range(len(CLASHING))) for r in rows], DOCS).repartition(3)
 
 
 @pytest.fixture(scope="session")
