@@ -10,9 +10,12 @@ triangle inequality means
 
 and is replicated there in that case. So a cell holds all partners of the
 vectors at home in it and is joined by itself: block by block, as products of
-matrices, counting partners and joining trees instead of listing pairs. Equal
-vectors are one row with a weight. A cell with many at home is dealt out in
-blocks of them, each of which meets all that the cell holds.
+matrices, counting partners and joining trees instead of listing pairs. Both
+sides ascend by their distance to the cell's pivot, and only those meet whose
+distances differ by at most e, by the triangle inequality again. Equal vectors
+are one row with a weight. A cell with many at home is dealt out in blocks of
+them, each of which meets all that the cell holds. There are as many pivots as
+blocks are expected, however many vectors there are.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import Forest, components, stage
 
 LEAST_COSINE = 0.95
-#: Vectors at home in a block, and pivots, at most.
-BLOCK, MOST_PIVOTS = 8192, 1024
-#: Vectors that meet a block at once, which bounds the product of matrices.
-MET = 512
+#: Vectors at home in a block, at most.
+BLOCK = 8192
+#: Vectors that meet a block at once, and cells of a matrix of distances to pivots.
+MET, DISTANCES = 512, 1 << 22
 #: Above the rounding of distances between unit vectors.
 SLACK = 1e-9
 
@@ -59,39 +62,41 @@ class Pivots:
 
     def __init__(self, units: np.ndarray) -> None:
         self.units = units
-        self.apart = np.sqrt(np.maximum(2 - 2 * units @ units.T, 0))
 
-    def cells(self, x: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-        """The home cell of each vector, and whether it is needed in each cell."""
-        square = 2 - 2 * x @ self.units.T
-        home = square.argmin(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            over = (square - square[np.arange(len(x)), home][:, None]) / (2 * self.apart[home])
-        needed = over <= most + SLACK
-        needed[np.arange(len(x)), home] = True
-        return home, needed
+    def cells(self, x: np.ndarray, most: float):
+        """For some vectors at a time: which, the home cell of each, whether it is needed in each cell, and its distances to the pivots."""
+        step = max(1, DISTANCES // len(self.units))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            square = np.maximum(2 - 2 * part @ self.units.T, 0)
+            home = square.argmin(axis=1)
+            row = np.arange(len(part))
+            apart = np.sqrt(np.maximum(2 - 2 * self.units[home] @ self.units.T, 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                needed = (square - square[row, home][:, None]) / (2 * apart) <= most + SLACK
+            needed[row, home] = True
+            yield slice(at, at + len(part)), home, needed, np.sqrt(square)
 
 
 def _choose_pivots(classes: DataFrame, n: int, cell: int) -> dict[int, Pivots]:
-    """Vectors with the smallest hashes, about one in ``cell`` of them, and at most ``MOST_PIVOTS``."""
-    k = max(1, min(MOST_PIVOTS, -(-n // cell)))
+    """Vectors with the smallest hashes, about one in ``cell`` of them."""
+    k = max(1, -(-n // cell))
     by_length: dict[int, list[bytes]] = {}
     for (vec,) in classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(k).collect():
         by_length.setdefault(len(vec), []).append(bytes(vec))
     found = {}
     for length, rows in by_length.items():
         units = _unit(rows)
-        same = np.triu(2 - 2 * units @ units.T < 1e-6, 1).any(axis=0)
-        found[length] = Pivots(units[~same])
+        found[length] = Pivots(units[np.sort(np.unique(np.round(units, 3), axis=0, return_index=True)[1])])
     return found
 
 
-PLACED = "length int, cell int, block int, replica boolean, rep long, n long, vec binary"
+PLACED = "length int, cell int, block int, replica boolean, far double, rep long, n long, vec binary"
 
 
 def _place(classes: DataFrame, pivots: dict[int, Pivots], most: float, blocks: dict[tuple[int, int], int] | None) -> DataFrame:
     """Rows of ``classes(rep, n, vec)`` by cell and block; without ``blocks``, how many are at home in each cell."""
-    shared = classes.sparkSession.sparkContext.broadcast((pivots, blocks))  # MOST_PIVOTS vectors and as many counts, at most
+    shared = classes.sparkSession.sparkContext.broadcast((pivots, blocks))  # a vector and a count for each cell
 
     def rows_of(batches):
         known, cut = shared.value
@@ -101,11 +106,11 @@ def _place(classes: DataFrame, pivots: dict[int, Pivots], most: float, blocks: d
             for length in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == length)
                 x = _unit([vecs[i] for i in at])
-                if length in known:
-                    home, needed = known[length].cells(x, most)
-                else:
-                    home, needed = np.zeros(len(at), np.int64), np.ones((len(at), 1), bool)
-                yield length, at, reps, weights, vecs, home, needed, cut
+                if length not in known:  # too few to have a pivot
+                    yield length, at, reps, weights, vecs, np.zeros(len(at), np.int64), np.ones((len(at), 1), bool), np.zeros((len(at), 1)), cut
+                    continue
+                for part, home, needed, far in known[length].cells(x, most):
+                    yield length, at[part], reps, weights, vecs, home, needed, far, cut
 
     def count(batches):
         for length, _, _, _, _, home, *_ in rows_of(batches):
@@ -116,7 +121,7 @@ def _place(classes: DataFrame, pivots: dict[int, Pivots], most: float, blocks: d
         return classes.mapInArrow(count, "length int, cell int, n long")
 
     def place(batches):
-        for length, at, reps, weights, vecs, home, needed, cut in rows_of(batches):
+        for length, at, reps, weights, vecs, home, needed, far, cut in rows_of(batches):
             row, cell = np.nonzero(needed)
             parts = np.array([cut.get((length, c), 0) for c in range(needed.shape[1])])[cell]
             row, cell = np.repeat(row, parts), np.repeat(cell, parts)
@@ -125,42 +130,45 @@ def _place(classes: DataFrame, pivots: dict[int, Pivots], most: float, blocks: d
             row, cell, block = np.append(row, np.arange(len(at))), np.append(cell, home), np.append(block, own)
             replica = np.arange(len(row)) < len(row) - len(at)
             for i in range(0, len(row), 20_000):
-                part = [int(at[r]) for r in row[i : i + 20_000]]
+                cut_out = slice(i, i + 20_000)
+                part = at[row[cut_out]].tolist()
+                columns = (cell[cut_out], block[cut_out], replica[cut_out], far[row[cut_out], cell[cut_out]], [reps[r] for r in part], [weights[r] for r in part], [vecs[r] for r in part])
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([length] * len(part), pa.int32()), pa.array(cell[i : i + 20_000], pa.int32()), pa.array(block[i : i + 20_000], pa.int32()), pa.array(replica[i : i + 20_000]),
-                        pa.array([reps[r] for r in part], pa.int64()), pa.array([weights[r] for r in part], pa.int64()), pa.array([vecs[r] for r in part], pa.binary()),
-                    ],
-                    ["length", "cell", "block", "replica", "rep", "n", "vec"],
-                )
+                    [pa.array([length] * len(part), pa.int32()), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))],
+                    ["length", "cell", "block", "replica", "far", "rep", "n", "vec"],
+                )
 
     return classes.mapInArrow(place, PLACED)
 
 
 class _Block:
-    """What is at home in a block, and the partners met so far."""
+    """What is at home in a block, and the partners met so far; all come by their distance to the pivot."""
 
     def __init__(self) -> None:
         self.reps: list[int] = []
         self.vecs: list[bytes] = []
+        self.fars: list[float] = []
         self.units = None
 
     def close_home(self) -> None:
         self.units = _unit(self.vecs)
-        self.ids = np.array(self.reps, np.int64)
+        self.ids, self.far = np.array(self.reps, np.int64), np.array(self.fars)
         self.links = np.zeros(len(self.ids), np.int64)
         self.trees = Forest(len(self.ids))
 
-    def meet(self, reps: np.ndarray, weights: np.ndarray, vecs: list[bytes], least: float) -> list[tuple[int, int]]:
+    def meet(self, reps: np.ndarray, weights: np.ndarray, far: np.ndarray, vecs: list[bytes], least: float) -> list[tuple[int, int]]:
         """Count the partners among these; the edges tie each of them to a vector at home."""
         if self.units is None:
             self.close_home()
-        linked = self.units @ _unit(vecs).T >= least
-        linked &= self.ids[:, None] != reps[None, :]
-        self.links += linked @ weights
+        most = np.sqrt(2 - 2 * least) + SLACK
+        low, high = np.searchsorted(self.far, [far[0] - most, far[-1] + most]).tolist()
+        linked = self.units[low:high] @ _unit(vecs).T >= least
+        linked &= self.ids[low:high, None] != reps[None, :]
+        self.links[low:high] += linked @ weights
         edges = []
         for j in np.flatnonzero(linked.any(axis=0)).tolist():
-            first, *rest = np.flatnonzero(linked[:, j]).tolist()
+            first, *rest = (low + np.flatnonzero(linked[:, j])).tolist()
             edges.append((int(reps[j]), int(self.ids[first])))
             for i in rest:
                 self.trees.join(first, i)
@@ -195,14 +203,15 @@ def _join_cells(placed: DataFrame, parts: int, least: float) -> DataFrame:
                 if not replica:
                     block.reps += reps.to_pylist()
                     block.vecs += vecs
+                    block.fars += part.column("far").to_pylist()
                 elif block.reps:
-                    edges = block.meet(reps.to_numpy(), part.column("n").to_numpy(), vecs, least)
+                    edges = block.meet(reps.to_numpy(), part.column("n").to_numpy(), part.column("far").to_numpy(), vecs, least)
                     yield made([(x, y, None) for x, y in edges])
         if now is not None:
             yield made(block.end())
 
     keys = ["length", "cell", "block"]
-    return placed.repartition(parts, *keys).sortWithinPartitions(*keys, "replica").mapInArrow(run, JOINED)
+    return placed.repartition(parts, *keys).sortWithinPartitions(*keys, "replica", "far").mapInArrow(run, JOINED)
 
 
 def vector_groups(vectors: DataFrame, least_cosine: float = LEAST_COSINE, block: int = BLOCK) -> DataFrame:
@@ -211,14 +220,15 @@ def vector_groups(vectors: DataFrame, least_cosine: float = LEAST_COSINE, block:
     Vectors that are null, empty, zero or hold null or non-finite components
     have no links and are their own component; so are rows without a vec_id,
     whose component is null and which are kept. Vectors of different lengths do
-    not link. Rows that share a vec_id are one node: they do not count as each
-    other's links.
+    not link. Rows that share a vec_id are one node: equal ones do not count as
+    each other's links, and an id counts once for each vector that it has. Other
+    columns may have any names and are left out.
     """
     spark = vectors.sparkSession
     most = float(np.sqrt(2 - 2 * least_cosine))
     rows = stage(_packed(vectors), "vectors")
     usable = rows.where("vec is not null and vec_id is not null")
-    classes = stage(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", "vec"), "classes")
+    classes = stage(usable.distinct().groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", "vec"), "classes")
     pivots = _choose_pivots(classes, classes.count(), block)
     home = _place(classes, pivots, most, None).groupBy("length", "cell").agg(F.sum("n").alias("n")).collect()
     blocks = {(length, cell): -(-n // block) for length, cell, n in home}

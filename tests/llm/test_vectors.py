@@ -52,3 +52,24 @@ def test_odd_rows_and_small_blocks(spark, block):
 
 def test_no_rows(spark):
     assert vector_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [1.0, 0.01]), (4, [1.0, 0.01])]
+    got = vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 1, True)] * 2 + [(2, 2, 1, False)] + [(3, 0, 3, True)] * 2 + [(4, 2, 1, False)] * 2
+
+
+def test_distances_to_the_pivot_prune_and_lose_nothing():
+    from tarnlake.llm.neardup_vectors import _Block
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    far = np.linalg.norm(x - x[0], axis=1)
+    x, far = x[np.argsort(far)], np.sort(far)
+    block = _Block()
+    block.reps, block.vecs, block.fars = list(range(400)), [v.tobytes() for v in x], far.tolist()
+    for at in range(0, 400, 50):
+        block.meet(np.arange(at, at + 50), np.ones(50, np.int64), far[at : at + 50], block.vecs[at : at + 50], 0.95)
+    assert [n for *_, n in block.end()] == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
