@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tarnlake.llm import queries
-from tarnlake.llm.quality import MEASURES, classify, learn, measures, nn_pu_fit, pairs, reject
+from tarnlake.llm.quality import MEASURES, N_FEATURES, Rows, classify, estimate_prior, learn, measures, nn_pu_fit, nn_pu_step, pairs, reject
 
 LABELS = "doc_id long, quality int, toxic int, text string"
 
@@ -25,6 +25,60 @@ def test_rows_and_range(spark, scored):
     assert scored.score.between(0, 1).all() and (scored.predicted == (scored.score >= 0.3)).all()
 
 
+def test_labels_that_are_0_do_not_matter(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    a, b = (classify(docs, x).select("doc_id", "score").collect() for x in (labels, labels.where("quality = 1")))
+    assert sorted(a) == sorted(b) and len({r["score"] for r in a}) > 1
+
+
+def test_prior_from_positives_and_unlabelled(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality in (0, 1)")
+    share = labels.selectExpr("avg(quality)").first()[0]
+    found = learn(spark.read.parquet(f"{sf}/documents.parquet"), labels).prior
+    assert abs(found - share) < 0.12, (found, share)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_prior_of_a_known_mixture(prior):
+    rng = np.random.default_rng(5)
+    row = lambda good: (*pairs(" ".join(rng.choice(["river", "stone", "light"] if good else ["xx$", "zz%", "river"], 30)).encode()), np.zeros(MEASURES))
+    positive = [row(True) for _ in range(400)]
+    unlabelled = [row(rng.random() < prior) for _ in range(800)]
+    assert abs(estimate_prior(positive, unlabelled) - prior) < 0.07
+
+
+def test_risk_and_gradient_by_brute_force():
+    rng = np.random.default_rng(6)
+    texts = ["the river", "xx $$ 12", "a stone of light", "", "q", "the end. the end."]
+    rows = [(*pairs(t.encode()), measures(t.encode())) for t in texts]
+    p, u = (Rows.of(x, np.zeros(MEASURES), np.ones(MEASURES)) for x in (rows[:3], rows[2:]))
+
+    def dense(x):
+        out = np.zeros((len(x), N_FEATURES + 1))
+        for r, (at, value, shape) in zip(out, x):
+            r[at], r[N_FEATURES - MEASURES : -1], r[-1] = value, shape, 1
+        return out
+
+    dp, du = dense(rows[:3]), dense(rows[2:])
+    loss = lambda z: np.mean([np.log(1 + np.exp(-x)) for x in z])
+    below = set()
+    for prior in (0.1, 0.5, 0.95):
+        for size in (0.0, 0.5, 2.0):
+            w = rng.normal(size=N_FEATURES + 1) * size
+            positive = lambda w: prior * loss(dp @ w)  # noqa: B023, E731
+            negative = lambda w: loss(-du @ w) - prior * loss(-dp @ w)  # noqa: B023, E731
+            got = nn_pu_step(w, p, u, prior)
+            goal = (lambda w: positive(w) + negative(w)) if negative(w) >= 0 else (lambda w: -negative(w))
+            below.add(negative(w) < 0)
+            for k in [*np.flatnonzero(dp.any(axis=0) | du.any(axis=0))[::9], N_FEATURES]:
+                step = np.zeros_like(w)
+                step[k] = 1e-5
+                assert got[k] == pytest.approx((goal(w + step) - goal(w - step)) / 2e-5, abs=1e-6)
+    assert below == {True, False}
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark, odd_docs):
     labels = [(i, i % 3 > 0, 0, None) for i in range(0, 37)]
     make = lambda rows: spark.createDataFrame([(i, int(q), t, x) for i, q, t, x in rows], LABELS)
