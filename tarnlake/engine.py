@@ -48,7 +48,8 @@ class Engine:
         self.hits = 0
 
     def table(self, name: str) -> DataFrame:
-        df = self.catalog.table(name)
+        """The table, and its dates as they are stored."""
+        df = self.catalog.stored(name)
         if self.options.storage == "row":
             return df
         if name not in self._columnar:
@@ -77,7 +78,7 @@ class Engine:
     def statistics(self, name: str) -> Statistics:
         """Statistics of a table, computed once, with sketches of distinct values."""
         if name not in self._statistics:
-            self._statistics[name] = table_statistics(self.table(name), exact=False)
+            self._statistics[name] = table_statistics(self.catalog.table(name), exact=False)
         return self._statistics[name]
 
     def explain(self, sql: str, estimates: bool = False) -> str:
@@ -86,7 +87,7 @@ class Engine:
         guess = Estimator(bound, [self.statistics(r.table) for r in bound.relations]).run() if estimates else None
         return explain(bound, lower(bound, self.table), guess)
 
-    def explain_analyze(self, sql: str) -> tuple[list, str]:
+    def explain_analyze(self, sql: str) -> tuple[int, str]:
         began = time.perf_counter()
         statement = parse(sql)
         parsed = time.perf_counter()

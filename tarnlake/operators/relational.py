@@ -37,7 +37,7 @@ def distinct_by_first(df: DataFrame, shown: Sequence[str], keys: Sequence[tuple[
     """One row per distinct ``shown``: the one that comes first by ``keys`` (name, descending), which are kept.
 
     Keys of one direction are an aggregation with partial results; mixed ones
-    need a window over each group.
+    a window over each group, of which only the first row of every task is shuffled.
     """
     if len({down for _, down in keys}) == 1:
         pick = F.max if keys[0][1] else F.min

@@ -8,29 +8,70 @@ limit, so that Spark plans a top-k.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions import dialect
 from tarnlake.operators import relational
+from tarnlake.plans import dates
 from tarnlake.plans.analyzer import Bound, kind_of
-from tarnlake.plans.ast import COMPARISONS, DOUBLE, INT, STRING, Aggregate, Binary, Case, DateLiteral, Expr, In, IsNull, Like, Literal, Negate, Ref, Substring
+from tarnlake.plans.ast import ARITHMETIC, COMPARISONS, DOUBLE, INT, STRING, Aggregate, Binary, Case, DateLiteral, Expr, In, IsNull, Like, Literal, Negate, Ref, Substring, walk
+from tarnlake.sources.catalog import STORED_ALL, STORED_DAY
 
 
 def _column(slot: int, ordinal: int) -> str:
     return f"c{slot}_{ordinal}"
 
 
+_FLIPPED = {"=": "=", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
+#: What an operator costs a row, next to one for reading a column; SUBSTRING and arithmetic may raise.
+_WORK = {Like: 20, Substring: 10, Case: 5, In: 3}
+_MAY_RAISE = (Substring, Negate)
+
+
+def conjuncts(e: Expr) -> list[Expr]:
+    return [*conjuncts(e.left), *conjuncts(e.right)] if isinstance(e, Binary) and e.op == "AND" else [e]
+
+
+def _work(e: Expr) -> int:
+    return sum(_WORK.get(type(x), 1) + (x.kind == STRING if isinstance(x, Ref) else 0) for x in walk(e))
+
+
+def by_work(parts: list[Expr]) -> list[Expr]:
+    """The cheap conditions first. What may raise keeps its place behind those that stand before it."""
+    out: list[Expr] = []
+    calm: list[Expr] = []
+    for e in parts:
+        if any(isinstance(x, _MAY_RAISE) or isinstance(x, Binary) and x.op in ARITHMETIC for x in walk(e)):
+            out += [*sorted(calm, key=_work), e]
+            calm = []
+        else:
+            calm.append(e)
+    return out + sorted(calm, key=_work)
+
+
 class Lowering:
     def __init__(self, bound: Bound) -> None:
         self.bound = bound
         self.refs = {(slot, name): _column(slot, i) for slot, schema in enumerate(bound.schemas) for i, (name, _) in enumerate(schema)}
         self.known: dict[Expr, str] = {}
+        self.stored: dict[str, tuple[str, str, str]] = {}  # of a date's column: the stored one, what the dialect sees of it, its type
+
+    def side(self, slot: int, df: DataFrame) -> DataFrame:
+        names = [n for n, _ in self.bound.schemas[slot]]
+        columns = [F.col(f"`{n}`").alias(_column(slot, i)) for i, n in enumerate(names)]
+        for i, n in enumerate(names):
+            for end in (STORED_DAY, STORED_ALL):
+                if n + end in df.columns:
+                    self.stored[_column(slot, i)] = f"d{slot}_{i}", end, df.schema[n + end].dataType.simpleString()
+                    columns.append(F.col(f"`{n}{end}`").alias(f"d{slot}_{i}"))
+        return df.select(*columns)
 
     def frame(self, table: Callable[[str], DataFrame]) -> DataFrame:
         b = self.bound
-        sides = [table(r.table).toDF(*(_column(slot, i) for i in range(len(b.schemas[slot])))) for slot, r in enumerate(b.relations)]
+        sides = [self.side(slot, table(r.table)) for slot, r in enumerate(b.relations)]
         df = sides[0]
         if b.join:
             df = relational.equi_join(*sides, *(self.refs[r.slot, r.name] for r in b.join))
@@ -74,11 +115,14 @@ class Lowering:
         if not self.is_condition(e):
             return dialect.as_condition(self.value(e))
         match e:
-            case Binary("AND", x, y):
-                return self.condition(x) & self.condition(y)
+            case Binary("AND"):
+                return reduce(Column.__and__, map(self.condition, by_work(conjuncts(e))))
             case Binary("OR", x, y):
                 return self.condition(x) | self.condition(y)
             case Binary(op, x, y):
+                for way in ((op, x, y), (_FLIPPED[op], y, x)):
+                    if (found := self.compared_date(*way)) is not None:
+                        return found
                 a, b = self.value(x), self.value(y)
                 return {"=": a.__eq__, "!=": a.__ne__, "<": a.__lt__, ">": a.__gt__, "<=": a.__le__, ">=": a.__ge__}[op](b)
             case IsNull(x, negated):
@@ -89,6 +133,17 @@ class Lowering:
                 found = dialect.is_in(self.value(x), kind_of(x), [(v.value, v.kind) for v in values])
         return ~found if negated else found
 
+    def compared_date(self, op: str, x: Expr, y: Expr) -> Column | None:
+        """A stored date compared with a day, which row groups and partitions are skipped by; None for anything else."""
+        text = y.text if isinstance(y, DateLiteral) else y.value if isinstance(y, Literal) and y.kind == STRING else None
+        if not isinstance(x, Ref) or x in self.known or text is None or self.refs[x.slot, x.name] not in self.stored or not dates.parse(text) or text >= "9999-12-31":
+            return None
+        name, seen, kind = self.stored[self.refs[x.slot, x.name]]
+        column, day, after = F.col(name), F.lit(text).cast(kind), F.lit(dates.add(text, 1, "day")).cast(kind)
+        if seen == STORED_ALL:  # the string of a time is greater than that of its day, so none equals a day
+            return {">": column >= day, ">=": column >= day, "<": column < day, "<=": column < day}.get(op)
+        return {"=": (column >= day) & (column < after), "!=": (column < day) | (column >= after), "<": column < day, ">": column >= after, "<=": column < after, ">=": column >= day}[op]
+
     def value(self, e: Expr) -> Column:
         if e in self.known:
             return F.col(self.known[e])

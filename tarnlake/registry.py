@@ -32,7 +32,8 @@ class _Lazy(Catalog):
 
     def schema(self, name: str):
         if name in TABLES and name not in self._frames:
-            self.add(name, self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self.add(name, df, days=[c for c in df.columns if c.endswith("date")])  # which are stored as timestamps at midnight
         return super().schema(name)
 
 
@@ -176,13 +177,11 @@ _add("q6_revenue", "SELECT SUM(l_extendedprice * l_discount) AS revenue FROM lin
 
 def stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row count, extremes, distinct values and NULLs of the columns of ``part``."""
-    cat = Catalog.of_parquet(spark, sf_dir, ["part"])
-    kept = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
-    return statistics_frame(cat.table("part").select(*kept)).withColumn("avg_width", F.round("avg_width", DIGITS))
+    return statistics_frame(Catalog.of_parquet(spark, sf_dir, ["part"]).table("part")).withColumn("avg_width", F.round("avg_width", DIGITS))
 
 
 QUERIES["stats_table"] = stats_table
 ORACLE_SQL["stats_table"] = " UNION ALL ".join(
     f"SELECT '{c}' column_name, count(*) row_count, min({c})::VARCHAR min_value, max({c})::VARCHAR max_value, count(DISTINCT {c}) ndv, count(*) - count({c}) null_count, round({'avg(strlen(' + c + '))' if s else '8.0::DOUBLE'}, {DIGITS}) avg_width FROM part"
-    for c, s in (("p_partkey", 0), ("p_name", 1), ("p_brand", 1), ("p_type", 1), ("p_size", 0))
+    for c, s in (("p_partkey", 0), ("p_name", 1), ("p_brand", 1), ("p_type", 1), ("p_size", 0), ("p_retailprice", 0))
 )

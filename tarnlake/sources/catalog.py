@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +26,18 @@ def dialect_kind(kind: T.DataType) -> str | None:
 
 
 def dialect_column(name: str, kind: T.DataType) -> Column:
-    """Whole numbers are 64-bit, other numbers double, dates ISO strings."""
+    """Whole numbers are 64-bit, other numbers double, dates ISO strings, and timestamps too, with their time of day."""
     column = F.col(f"`{name}`")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, T.DateType):
         return F.date_format(column, "yyyy-MM-dd").alias(name)
     return column.cast(SPARK_KINDS[dialect_kind(kind)]).alias(name)
 
 
+#: End the name of a date or time as it is stored, beside the string that the dialect sees, which is that of its day
+#: or all of it: comparisons with what is stored reach the scan.
+STORED_DAY, STORED_ALL = "#day", "#all"
+
+
 class Catalog:
     """Schemas and frames of tables; frames are built once."""
 
@@ -39,27 +45,33 @@ class Catalog:
         self.spark = spark
         self._frames: dict[str, DataFrame] = {}
 
-    def add(self, name: str, df: DataFrame) -> None:
-        """Register any DataFrame; columns of other kinds than the dialect's are left out."""
+    def add(self, name: str, df: DataFrame, days: Iterable[str] = ()) -> None:
+        """Register any DataFrame; columns of other kinds than the dialect's are left out. Timestamps in ``days`` are read as dates."""
         kept = [f for f in df.schema.fields if dialect_kind(f.dataType)]
-        self._frames[name] = df.select(*(dialect_column(f.name, f.dataType) for f in kept))
+        days = {f.name for f in kept if f.name in set(days) or isinstance(f.dataType, T.DateType)}
+        dates = [F.col(f"`{f.name}`").alias(f.name + (STORED_DAY if f.name in days else STORED_ALL)) for f in kept if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+        self._frames[name] = df.select(*(dialect_column(f.name, T.DateType() if f.name in days else f.dataType) for f in kept), *dates)
 
-    def table(self, name: str) -> DataFrame:
+    def stored(self, name: str) -> DataFrame:
+        """The table, and its dates as they are stored."""
         return self._frames[name]
 
+    def table(self, name: str) -> DataFrame:
+        return self._frames[name].select(*(F.col(f"`{n}`") for n, _ in self.schema(name)))
+
     def schema(self, name: str) -> list[tuple[str, str]] | None:
         if name not in self._frames:
             return None
-        return [(f.name, dialect_kind(f.dataType)) for f in self._frames[name].schema.fields]
+        return [(f.name, dialect_kind(f.dataType)) for f in self._frames[name].schema.fields if not f.name.endswith((STORED_DAY, STORED_ALL))]
 
     def names(self) -> list[str]:
         return sorted(self._frames)
 
     @classmethod
-    def of_parquet(cls, spark: SparkSession, folder: str, names: list[str]) -> Catalog:
+    def of_parquet(cls, spark: SparkSession, folder: str, names: list[str], days: Iterable[str] = ()) -> Catalog:
         found = cls(spark)
         for name in names:
-            found.add(name, spark.read.parquet(f"{folder}/{name}.parquet"))
+            found.add(name, spark.read.parquet(f"{folder}/{name}.parquet"), days)
         return found
 
     @classmethod

@@ -184,7 +184,7 @@ def test_explain(eng):
     for part in ("Logical plan", "Limit(3)", "Aggregate(keys=[team]", "(season = 2024)", "Optimized plan", "Physical plan", "TakeOrderedAndProject"):
         assert part in text
     found, report = eng.explain_analyze("SELECT team, COUNT(*) AS n FROM laps GROUP BY team")
-    assert len(found) == 3 and "HashAggregate" in report and "rows_out=3" in report and "execute=" in report
+    assert found == 3 and "HashAggregate" in report and "rows_out=3" in report and "execute=" in report
 
 
 def test_pushdown_reaches_the_scan(spark):
@@ -195,6 +195,20 @@ def test_pushdown_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_totalprice)" in plan or "GreaterThan(o_totalprice,1000.5)" in plan
     assert "o_orderpriority" not in plan.split("ReadSchema")[1]
     assert "TakeOrderedAndProject" in engine(spark, SF).explain(DIALECT_SQL["topk"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = engine(spark, SF).explain(DIALECT_SQL["q6_revenue"])
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(l_shipdate,1996-01-01T00:00)" in plan and "LessThan(l_shipdate,1997-01-01T00:00)" in plan and "date_format" not in plan.split("Physical plan")[1]
+    assert "WindowGroupLimit" in engine(spark, SF).explain(DIALECT_SQL["distinct_order_mixed"])
+
+
+def test_cheap_conditions_come_first(spark):
+    from tarnlake.registry import engine
+    from tests.conftest import SF
+
+    plan = engine(spark, SF).explain("SELECT p_name FROM part WHERE p_name LIKE '%a%' AND p_type IN ('x', 'y') AND p_size > 3")
+    text = next(x for x in plan.split("Optimized plan")[1].split("\n") if "Filter" in x)
+    assert text.index("> 3") < text.index(" IN (") < text.index("Contains")
 
 
 @pytest.mark.parametrize(

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tarnlake.cli import format_table, main
+from tarnlake.cli import main, table_lines
 from tarnlake.engine import Engine
 from tarnlake.errors import SourceError
 from tarnlake.operators.statistics import statistics_frame, storage_bytes, table_statistics
@@ -54,8 +54,41 @@ def test_cli(spark, folder, capsys):
     assert main(base, spark) == 1 and main([*base, "--query", "x", "--execution", "vectorized"], spark) == 1
 
 
+def test_cli_runs_a_file(spark, folder, capsys):
+    (folder / "q.sql").write_text("SELECT COUNT(*) AS n FROM laps;\n SELECT nope FROM laps ;\nSELECT SUM(9223372036854775807 + lap_id) FROM laps;")
+    base = ["--catalog", str(folder / "catalog.json")]
+    assert main([*base, "--queries", str(folder / "q.sql")], spark) == 1
+    out = capsys.readouterr().out
+    assert "[2/3] SELECT nope FROM laps\nerror: " in out and "n\n-\n3\n(1 rows)" in out and out.endswith("ok, 2 failed\n" if "[3/3]" in out and "OVERFLOW" in out else "ok, 1 failed\n")
+    (folder / "q.sql").write_text("SELECT COUNT(*) AS n FROM laps")
+    assert main([*base, "--queries", str(folder / "q.sql"), "--explain"], spark) == 0 and "est=3" in capsys.readouterr().out
+    assert main([*base, "--queries", "nowhere.sql"], spark) == 1 and "cannot open" in capsys.readouterr().err
+
+
 def test_format():
-    assert format_table(["a", "b"], [(1, 0.1 + 0.2), (None, "x")]) == "a    | b\n-----+----\n1    | 0.3\nNULL | x\n(2 rows)"
+    assert "\n".join(table_lines(["a", "b"], [(1, 0.1 + 0.2), (None, "x")])) == "a    | b\n-----+----\n1    | 0.3\nNULL | x\n(2 rows)"
+    many = list(table_lines(["a"], ((i,) for i in range(5000))))
+    assert len(many) == 5003 and many[-2:] == ["4999", "(5000 rows)"] and list(table_lines(["a"], [])) == ["a", "-", "(0 rows)"]
+
+
+def test_dates_and_times(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, DATE '1996-01-31', TIMESTAMP '1996-01-31 00:00:00', TIMESTAMP_NTZ '1996-01-31 12:30:00.5'), (2, DATE '1996-02-01', TIMESTAMP '1996-02-01 07:00:00', NULL), (3, NULL, NULL, TIMESTAMP_NTZ '1996-02-01 00:00:00') AS t(i, d, t, z)")
+    cat = Catalog(spark)
+    cat.add("days", rows)
+    cat.add("cut", rows, days=["t", "z"])
+    eng = Engine(cat)
+    assert [tuple(r) for r in eng.sql("SELECT d, t, z FROM cut WHERE i = 1").collect()] == [("1996-01-31",) * 3]
+    assert [tuple(r) for r in eng.sql("SELECT d, t, z FROM days WHERE i = 1").collect()] == [("1996-01-31", "1996-01-31 00:00:00", "1996-01-31 12:30:00.5")]
+    assert eng.sql("SELECT * FROM days").columns == ["i", "d", "t", "z"]
+    plain = {"d": lambda r: r[1], "t": lambda r: r[2], "z": lambda r: r[3]}
+    compare = {"=": str.__eq__, "!=": str.__ne__, "<": str.__lt__, ">": str.__gt__, "<=": str.__le__, ">=": str.__ge__}
+    parts = [(c, op, day) for c in plain for op in compare for day in ("1996-01-31", "1996-02-01", "1996-02-30", "1996-01-31 12")]
+    for name in ("days", "cut"):
+        table = [tuple(r) for r in eng.sql(f"SELECT i, d, t, z FROM {name} ORDER BY i").collect()]
+        got = eng.sql(f"SELECT {', '.join(f'{c} {op} {chr(39)}{day}{chr(39)} AS p{k}' for k, (c, op, day) in enumerate(parts))} FROM {name} ORDER BY i").collect()
+        for k, (c, op, day) in enumerate(parts):
+            assert [r[k] for r in got] == [None if (x := plain[c](r)) is None else int(compare[op](x, day)) for r in table], (name, c, op, day)
+    assert [r[0] for r in eng.sql("SELECT i FROM days WHERE DATE '1996-01-31' < d").collect()] == [2]
 
 
 def test_statistics(spark):
