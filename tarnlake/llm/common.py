@@ -39,13 +39,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, path: str | None = None) -> None:
+    """Delete a staged table or, by default, all that this application has staged. What is still to be read from them is lost."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -177,10 +183,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Returns ``(node, component)`` for the nodes of edges, ``component`` being
     the smallest node that is reachable. Each round is aggregations and equi
     joins, so a hub is combined before it is shuffled; the edges of a round go
-    to a table in the shared folder. Edges with a null end are ignored.
+    to a table in the shared folder, and those of the round before go. Edges
+    with a null end are ignored.
     """
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = stage(both.where("u is not null and v is not null and u <> v").distinct(), "edges")
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
+    now = stage(both.where("u is not null and v is not null and u <> v").distinct(), path=path)
     mark = _mark(now)
     for _ in range(most_rounds):
         if not mark[0]:
@@ -192,7 +200,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = stage(small.where("u <> v").distinct(), "edges")
+        old, path = path, new_path(spark, "edges")
+        now = stage(small.where("u <> v").distinct(), path=path)
+        clear(spark, old)
         before, mark = mark, _mark(now)
         if mark == before:
             break
