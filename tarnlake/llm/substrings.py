@@ -37,8 +37,8 @@ from tarnlake.llm.common import pieces, runs, texts_of, width
 LENGTH, GRAM = 50, 20
 #: Windows in a run, bytes in a group of documents and in a stretch that is scanned at once.
 LONGEST_RUN, GROUP_BYTES, STRETCH = 64, 16 << 20, 1 << 20
-#: Bytes of text for each place where names, and where runs, are compared.
-NAME_BYTES, RUN_BYTES = 64 << 20, 8 << 20
+#: Bytes of text for each place where names, and where runs, are compared, and places for names at most; beyond, they hold more.
+NAME_BYTES, RUN_BYTES, MOST_BUCKETS = 64 << 20, 8 << 20, 1 << 18
 
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -182,7 +182,9 @@ def _shared_names(named: DataFrame, groups: int) -> DataFrame:
         if held:
             yield from _shared_in_bucket(now, held, groups)
 
-    return named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+    # dealt by number, as a hash would put several in one task and none in another
+    parts = width(named.sparkSession)
+    return named.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
 def _shared_in_bucket(bucket: int, held: list, groups: int):
@@ -283,7 +285,8 @@ def _match(sent: DataFrame, length: int) -> DataFrame:
         if held:
             yield from _matched(held, length)
 
-    return sent.repartition("kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(run, SENT)
+    parts = width(sent.sparkSession)
+    return sent.repartitionById(parts, F.col("dest") % parts).sortWithinPartitions("kind", "dest").mapInArrow(run, SENT)
 
 
 def _window_ranks(data: bytes, length: int) -> np.ndarray:
@@ -402,7 +405,7 @@ def _repeats(docs: DataFrame, length: int, clean: bool) -> DataFrame:
     size = whole.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = width(spark)
     groups = max(2 * parts, -(-size // GROUP_BYTES)) | 1
-    buckets = min(1 << 15, max(min(parts, 12), size // NAME_BYTES))
+    buckets = min(MOST_BUCKETS, max(min(parts, 12), size // NAME_BYTES))
     places = max(parts, -(-size // RUN_BYTES))
     doc: Column = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit((1 << 62) - 57))
     keyed = whole.where("doc_id is not null").select("*", doc.alias("doc"), (doc % F.lit(groups)).cast("int").alias("grp"))
