@@ -58,7 +58,7 @@ _add("scan_star_filter", "SELECT * FROM nation WHERE n_regionkey = 2", "SELECT n
 _add("project_columns", "SELECT o_orderkey, o_orderstatus FROM orders", "SELECT o_orderkey, o_orderstatus FROM orders")
 _add("project_expr", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS rev FROM lineitem", "SELECT l_orderkey, l_linenumber::BIGINT l_linenumber, l_extendedprice * (1 - l_discount) rev FROM lineitem", "rev", 5)
 _add("project_unary", "SELECT p_partkey, -p_size AS neg, - -p_size AS pos FROM part", "SELECT p_partkey, (-p_size)::BIGINT neg, p_size::BIGINT pos FROM part")
-_add("project_default_names", "SELECT p_size + 1, -p_size, p_size > 3 FROM part WHERE p_partkey < 50", 'SELECT (p_size + 1)::BIGINT "(p_size + 1)", (-p_size)::BIGINT "(-p_size)", (p_size > 3)::BIGINT "(p_size > 3)" FROM part WHERE p_partkey < 50')
+_add("project_default_names", "SELECT p_size + 1, -p_size, p_size > 3 FROM part", 'SELECT (p_size + 1)::BIGINT "(p_size + 1)", (-p_size)::BIGINT "(-p_size)", (p_size > 3)::BIGINT "(p_size > 3)" FROM part')
 # arithmetic
 _add("int_division", "SELECT COUNT(l_orderkey / (l_linenumber - 1)) AS c, SUM(l_orderkey / (l_linenumber - 1)) AS s FROM lineitem", "SELECT count(q) c, sum(q::DOUBLE) s FROM (SELECT l_orderkey // nullif(l_linenumber::BIGINT - 1, 0) q FROM lineitem)", "s")
 _add("int_division_truncates", "SELECT n_nationkey, (0 - n_nationkey) / 2 AS q, n_nationkey / (0 - 3) AS r FROM nation", "SELECT n_nationkey::BIGINT n_nationkey, (-n_nationkey // 2)::BIGINT q, (n_nationkey // -3)::BIGINT r FROM nation")
@@ -133,14 +133,14 @@ _add("having_key", "SELECT p_type, COUNT(*) AS n FROM part GROUP BY p_type HAVIN
 _add("expr_over_agg", "SELECT l_returnflag, SUM(l_quantity) / COUNT(*) AS m, MAX(l_linenumber) / 2 AS h FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, sum(l_quantity) / count(*) m, (max(l_linenumber) // 2)::BIGINT h FROM lineitem GROUP BY 1", "m")
 _add("agg_expr_arg", "SELECT l_linestatus, SUM(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS charge FROM lineitem GROUP BY l_linestatus", "SELECT l_linestatus, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) charge FROM lineitem GROUP BY 1", "charge")
 _add("agg_distinct_literals", "SELECT SUM(l_linenumber / 2) AS a, SUM(l_linenumber / 2.0) AS b FROM lineitem", "SELECT sum((l_linenumber // 2)::DOUBLE) a, sum(l_linenumber / 2.0::DOUBLE) b FROM lineitem", "a b")
-_add("hidden_order_agg", "SELECT p_brand FROM part GROUP BY p_brand ORDER BY SUM(p_retailprice) DESC, p_brand LIMIT 5", "SELECT p_brand FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, p_brand LIMIT 5")
+_add("hidden_order_agg", "SELECT p_brand FROM part GROUP BY p_brand ORDER BY SUM(p_retailprice) DESC, p_brand", "SELECT p_brand FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, p_brand")
 # order and limit
-_add("sort_asc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice NULLS FIRST, o_orderkey LIMIT 20", "o_totalprice")
-_add("sort_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey ASC LIMIT 20", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20", "o_totalprice")
-_add("sort_multi", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_returnflag, l_quantity DESC, l_orderkey, l_linenumber LIMIT 50", "SELECT l_orderkey, l_linenumber::BIGINT l_linenumber FROM lineitem ORDER BY l_returnflag, l_quantity DESC, l_orderkey, l_linenumber LIMIT 50")
-_add("sort_expr", "SELECT p_partkey FROM part ORDER BY p_retailprice * p_size DESC, p_partkey LIMIT 10", "SELECT p_partkey FROM part ORDER BY p_retailprice * p_size DESC, p_partkey LIMIT 10")
-_add("sort_alias", "SELECT p_partkey, 0 - p_size AS p_size FROM part ORDER BY p_size, p_partkey LIMIT 10", "SELECT p_partkey, (-p_size)::BIGINT p_size FROM part ORDER BY -part.p_size, p_partkey LIMIT 10")
-_add("sort_null", "SELECT l_orderkey, l_linenumber, l_orderkey / (l_linenumber - 1) AS q FROM lineitem ORDER BY q, l_orderkey, l_linenumber LIMIT 30", "SELECT l_orderkey, l_linenumber::BIGINT l_linenumber, l_orderkey // nullif(l_linenumber::BIGINT - 1, 0) q FROM lineitem ORDER BY q NULLS FIRST, l_orderkey, l_linenumber LIMIT 30")
+_add("sort_asc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice NULLS FIRST, o_orderkey", "o_totalprice")
+_add("sort_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey ASC", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey", "o_totalprice")
+_add("sort_multi", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_returnflag, l_quantity DESC, l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber::BIGINT l_linenumber FROM lineitem ORDER BY l_returnflag, l_quantity DESC, l_orderkey, l_linenumber")
+_add("sort_expr", "SELECT p_partkey FROM part ORDER BY p_retailprice * p_size DESC, p_partkey", "SELECT p_partkey FROM part ORDER BY p_retailprice * p_size DESC, p_partkey")
+_add("sort_alias", "SELECT p_partkey, 0 - p_size AS p_size FROM part ORDER BY p_size, p_partkey", "SELECT p_partkey, (-p_size)::BIGINT p_size FROM part ORDER BY -part.p_size, p_partkey")
+_add("sort_null", "SELECT l_orderkey, l_linenumber, l_orderkey / (l_linenumber - 1) AS q FROM lineitem ORDER BY q, l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber::BIGINT l_linenumber, l_orderkey // nullif(l_linenumber::BIGINT - 1, 0) q FROM lineitem ORDER BY q NULLS FIRST, l_orderkey, l_linenumber")
 _add("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 5", "o_totalprice")
 _add("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0", "SELECT o_orderkey FROM orders LIMIT 0")
 # distinct
@@ -149,7 +149,7 @@ _add("distinct_multi", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem
 _add("distinct_expr", "SELECT DISTINCT l_linenumber / (l_linenumber - 1) AS q FROM lineitem", "SELECT DISTINCT l_linenumber::BIGINT // nullif(l_linenumber::BIGINT - 1, 0) q FROM lineitem")
 _add("distinct_order_unselected", "SELECT DISTINCT p_type FROM part ORDER BY p_retailprice", "SELECT DISTINCT p_type FROM part")
 _add("distinct_order_unselected_limit", "SELECT DISTINCT p_brand FROM part ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 4", "SELECT p_brand FROM (SELECT p_brand, max((p_retailprice, p_partkey)) k FROM part GROUP BY 1) ORDER BY k DESC LIMIT 4")
-_add("distinct_order_mixed", "SELECT DISTINCT p_brand FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 4", "SELECT p_brand FROM (SELECT p_brand, p_retailprice r, p_partkey k, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) i FROM part) WHERE i = 1 ORDER BY r DESC, k LIMIT 4")
+_add("distinct_order_mixed", "SELECT DISTINCT p_brand FROM part ORDER BY p_retailprice DESC, p_partkey", "SELECT p_brand FROM (SELECT p_brand, p_retailprice r, p_partkey k, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) i FROM part) WHERE i = 1 ORDER BY r DESC, k")
 # joins
 _add("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 _add("join_alias", "SELECT n.n_name AS nation, r.r_name AS region FROM nation n JOIN region AS r ON r.r_regionkey = n.n_regionkey", "SELECT n_name nation, r_name region FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -157,7 +157,7 @@ _add("join_filter_both", "SELECT COUNT(*) AS n FROM lineitem JOIN part ON l_part
 _add("join_residual", "SELECT COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > p_size AND p_type = 'PROMO'", "SELECT count(*) n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > p_size AND p_type = 'PROMO'")
 _add("join_cross_or", "SELECT COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 OR p_size = 1", "SELECT count(*) n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 OR p_size = 1")
 _add("join_self", "SELECT a.n_name AS one, b.n_name AS two FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey", "SELECT a.n_name one, b.n_name two FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey")
-_add("join_string_key", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_name = b.p_name WHERE a.p_partkey < b.p_partkey AND a.p_size = 1", "SELECT a.p_partkey x, b.p_partkey y FROM part a JOIN part b ON a.p_name = b.p_name WHERE a.p_partkey < b.p_partkey AND a.p_size = 1")
+_add("join_string_key", "SELECT a.n_nationkey AS x, b.n_regionkey AS y FROM nation a JOIN nation b ON a.n_name = b.n_name", "SELECT a.n_nationkey::BIGINT x, b.n_regionkey::BIGINT y FROM nation a JOIN nation b ON a.n_name = b.n_name")
 _add("join_star_subset", "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", "SELECT n_nationkey::BIGINT n_nationkey, n_name, n_regionkey::BIGINT n_regionkey, r_regionkey::BIGINT r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 _add("join_group_left", "SELECT o_orderpriority, COUNT(*) AS n, AVG(c_acctbal) AS a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) n, avg(c_acctbal) a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1", "a")
 _add("join_group_right", "SELECT p_brand, SUM(l_quantity) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand", "SELECT p_brand, sum(l_quantity) s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1", "s")

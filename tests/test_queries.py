@@ -28,3 +28,10 @@ def test_rows_come_in_order(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("sort_")])
+def test_whole_tables_come_in_order(spark, con, name):
+    found = con.execute(ORACLE_SQL[name])
+    names = [x[0] for x in found.description]
+    assert [tuple(r[n] for n in names) for r in QUERIES[name](spark, SF).collect()] == found.fetchall()
