@@ -181,10 +181,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` by alternating large and small stars.
 
     Returns ``(node, component)`` for the nodes of edges, ``component`` being
-    the smallest node that is reachable. Each round is aggregations and equi
-    joins, so a hub is combined before it is shuffled; the edges of a round go
-    to a table in the shared folder, and those of the round before go. Edges
-    with a null end are ignored.
+    the smallest node that is reachable. Each round is aggregations, which
+    combine a hub before it is shuffled, and equi joins, for which hubs are
+    broadcast; the edges of a round go to a table in the shared folder, and
+    those of the round before are deleted. Edges with a null end are ignored.
     """
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
@@ -194,11 +194,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         around = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(around, mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = _with_least(large, mark[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         old, path = path, new_path(spark, "edges")
         now = stage(small.where("u <> v").distinct(), path=path)
@@ -214,5 +212,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
 
 
+#: A node with more edges is a hub; there are so many of them at most, as fewer edges make none where there are many.
+HUB, MOST_HUBS = 1 << 16, 100_000
+
+
+def _with_least(rows: DataFrame, edges: int) -> DataFrame:
+    """``rows(u, v)`` with the smallest ``v`` of their ``u`` as ``m``, so that no task holds all rows of a hub."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = max(HUB, 2 * edges // MOST_HUBS)
+    if edges <= limit:
+        return rows.join(least.drop("n"), "u")
+    hubs = F.broadcast(stage(least.where(F.col("n") > limit).drop("n"), "hubs"))
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(least.drop("n"), "u"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

@@ -6,7 +6,9 @@ import pytest
 from tarnlake.llm import common
 
 
-def test_components_against_a_search(spark):
+@pytest.mark.parametrize("hub", [1 << 16, 9])
+def test_components_against_a_search(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7), (8, None), (None, 9)]
     parent = {}
