@@ -31,7 +31,7 @@ from tarnlake.llm.common import pieces, stage, width
 LEAST_REVISIT = 100
 SHARD_BYTES = 32 << 20
 #: Beyond so many, shards grow instead. Of the sample, about so many fall into a shard.
-MOST_SHARDS, PER_SHARD = 1 << 16, 16
+MOST_SHARDS, PER_SHARD = 1 << 16, 64
 NO_ID = -(1 << 63)
 FILE_BYTES = 16 << 20
 LEVEL = 6
@@ -88,10 +88,11 @@ class Bounds:
         if shards < 2:
             return cls(empty, empty)
         every = max(1, n // (shards * PER_SHARD))
-        keys = pages.select(F.coalesce("page_id", F.lit(NO_ID)).alias("id"), "place").where(F.pmod(F.xxhash64("id", "place"), F.lit(every)) == 0).toArrow()
-        ids, places = (keys.column(x).to_numpy() for x in ("id", "place"))
+        keys = pages.select(F.coalesce("page_id", F.lit(NO_ID)).alias("id"), "place", "n_bytes").where(F.pmod(F.xxhash64("id", "place"), F.lit(every)) == 0).toArrow()
+        ids, places, sizes = (keys.column(x).to_numpy() for x in ("id", "place", "n_bytes"))
         order = np.lexsort((places, ids))
-        at = np.arange(1, shards) * len(order) // shards
+        before = np.cumsum(sizes[order]) - sizes[order]  # so that shards are alike in bytes, not in rows
+        at = np.unique(np.searchsorted(before, np.arange(1, shards) * (int(sizes.sum()) / shards)))
         ids, places = ids[order][at[at < len(order)]], places[order][at[at < len(order)]]
         new = np.append(True, (ids[1:] != ids[:-1]) | (places[1:] != places[:-1]))[: len(ids)]
         return cls(ids[new], places[new])
