@@ -114,8 +114,10 @@ SHINGLE, LEAST_SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Of the lowest bits of all 128 minima, how many may differ. At 0.8 more differ with a probability of 2e-6; at 0.53 half of the pairs pass.
 MOST_APART = 30
-#: Texts of a bucket that one task compares with each other, and nearest ones of a text that are verified at first.
-HOT, NEAREST = 1024, 4
+#: Texts of a bucket that one task compares with each other, nearest ones of a text that are verified at a time, and how often at most.
+HOT, NEAREST, ROUNDS = 1024, 4, 3
+#: Bits of a parity bitmap.
+PARITY = 1024
 _LANES = np.random.default_rng(SEED).integers(1 << 20, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -161,6 +163,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY`` hash values, whether an odd number of the shingles has it. No more bits of two sets differ than elements do."""
+    counts = np.bincount((_mix(shingles) >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
+
+
 class _Rows:
     """Rows of buckets as arrays: ``key`` and ``cell`` of the bucket, the bits ``low`` and ``high`` of a text, and more."""
 
@@ -177,9 +185,26 @@ class _Rows:
     def joined(parts: list[_Rows]) -> _Rows:
         return _Rows({k: np.concatenate([p.columns[k] for p in parts]) for k in parts[0].columns})
 
+    @staticmethod
+    def of(batch: pa.RecordBatch, names: list[str]) -> _Rows:
+        columns = {x: batch.column(x).to_numpy() for x in names if x != "bits"}
+        columns |= {x: columns[x].view(np.uint64) for x in ("low", "high")}
+        if "bits" in names:
+            columns["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        return _Rows(columns)
+
     def apart(self, i, j) -> np.ndarray:
         return np.bitwise_count(self.low[i] ^ self.low[j]).astype(np.int16) + np.bitwise_count(self.high[i] ^ self.high[j])
 
+    def allowed(self, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of some pairs, whether their bitmaps allow for a similarity of ``least``, and by how much in 10,000 their sets differ at least."""
+        differ = np.empty(len(i), np.int64)
+        for at in range(0, len(i), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            differ[part] = np.bitwise_count(self.bits[i[part]] ^ self.bits[j[part]]).sum(axis=1)
+        both = self.size[i] + self.size[j]
+        return differ * (1 + least) <= (1 - least) * both + 1e-6, 10_000 * differ // np.maximum(both, 1)
+
 
 def _buckets(batches, names: list[str]):
     """Rows of whole buckets, some at a time, from rows sorted by key and cell."""
@@ -187,7 +212,7 @@ def _buckets(batches, names: list[str]):
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = _Rows({x: batch.column(x).to_numpy().view(np.uint64) if x in ("low", "high") else batch.column(x).to_numpy() for x in names})
+        part = _Rows.of(batch, names)
         if held and (held[-1].key[-1], held[-1].cell[-1]) != (part.key[0], part.cell[0]):
             yield _Rows.joined(held)
             held = []
@@ -212,41 +237,58 @@ def _compared(rows: _Rows):
             yield np.arange(at, min(at + 512, a + n))[:, None], np.arange(a, a + n)[None, :]
 
 
-def _nearest_pairs(batches):
-    """From each text to its nearest one in a bucket and the nearest with a smaller id, ``(u, v, apart)``; to itself if a bucket's other blocks may hold more."""
-    for rows in _buckets(batches, NEAR):
-        us, vs, ds = [], [], []
-        for i, j in _compared(rows):
-            far = rows.apart(i, j)
-            if i.ndim == 1:
-                us += [rows.rep[i], rows.rep[j]]
-                vs += [rows.rep[j], rows.rep[i]]
-                ds += [far, far]
-                continue
-            far = np.where(i == j, 999, far)
-            mine = rows.rep[i[:, 0]]
-            for d in (far, np.where(rows.rep[j] < mine[:, None], far, 999)):
-                near = d.argmin(axis=1)
-                us.append(mine)
-                vs.append(rows.rep[j[0, near]])
-                ds.append(d[np.arange(len(near)), near])
-        some = rows.rep[rows.blocks > 1]
-        u, v, d = (np.concatenate(x) for x in ([*us, some], [*vs, some], [*ds, np.zeros(len(some))]))
-        kept = d <= MOST_APART
-        yield pa.RecordBatch.from_arrays([pa.array(u[kept], pa.int64()), pa.array(v[kept], pa.int64()), pa.array(d[kept], pa.int32())], ["u", "v", "apart"])
+NEAR = ["key", "cell", "low", "high", "rep", "blocks"]
+TREES = ["tree", "size", "bits"]
+_FAR = 1 << 20
 
 
-NEAR = ["key", "cell", "low", "high", "rep", "blocks"]
+def _nearest_pairs(names: list[str], least: float):
+    """From each text to its nearest one in a bucket and the nearest with a smaller id, ``(u, v, apart)``; to itself if other blocks may hold more.
+
+    With trees in ``names``, to those in other trees that the bitmaps allow.
+    """
+
+    def distances(rows, i, j):
+        far = rows.apart(i, j).astype(np.int64)
+        good = far <= MOST_APART if i.ndim == 1 else (far <= MOST_APART) & (i != j)
+        if "tree" in names:
+            good &= rows.tree[i] != rows.tree[j]
+            at = np.nonzero(good)
+            a, b = (i[at], j[at]) if i.ndim == 1 else (i[at[0], 0], j[0, at[1]])
+            good[at], far[at] = rows.allowed(a, b, least)
+        return np.where(good, far, _FAR)
+
+    def run(batches):
+        for rows in _buckets(batches, names):
+            us, vs, ds = [], [], []
+            for i, j in _compared(rows):
+                far = distances(rows, i, j)
+                if i.ndim == 1:
+                    us += [rows.rep[i], rows.rep[j]]
+                    vs += [rows.rep[j], rows.rep[i]]
+                    ds += [far, far]
+                    continue
+                mine = rows.rep[i[:, 0]]
+                for d in (far, np.where(rows.rep[j] < mine[:, None], far, _FAR)):
+                    near = d.argmin(axis=1)
+                    us.append(mine)
+                    vs.append(rows.rep[j[0, near]])
+                    ds.append(d[np.arange(len(near)), near])
+            some = rows.rep[rows.blocks > 1]
+            u, v, d = (np.concatenate(x) for x in ([*us, some], [*vs, some], [*ds, np.zeros(len(some))]))
+            kept = d < _FAR
+            yield pa.RecordBatch.from_arrays([pa.array(u[kept], pa.int64()), pa.array(v[kept], pa.int64()), pa.array(d[kept], pa.int32())], ["u", "v", "apart"])
+
+    return run
 
 
 def _other_pairs(least: float):
-    """All pairs of different trees whose shared shingles allow for a similarity of ``least``, ``(u, v)``."""
+    """All pairs of different trees that sketches and bitmaps allow, ``(u, v)``."""
 
     def run(batches):
-        for rows in _buckets(batches, [*NEAR, "block", "tree", "size", "shared"]):
+        for rows in _buckets(batches, [*NEAR, *TREES, "block"]):
             for i, j in _compared(rows):
-                both = np.minimum(rows.shared[i], rows.shared[j])
-                met = (rows.tree[i] != rows.tree[j]) & (rows.apart(i, j) <= MOST_APART) & (both * (1 + least) >= least * (rows.size[i] + rows.size[j]) - 1e-6)
+                met = (rows.tree[i] != rows.tree[j]) & (rows.apart(i, j) <= MOST_APART)
                 # of two blocks, rows of the same one meet elsewhere
                 met &= (rows.block[i] != rows.block[j]) | (rows.cell[i] // rows.blocks[i] == rows.cell[i] % rows.blocks[i])
                 if i.ndim == 1:
@@ -255,16 +297,20 @@ def _other_pairs(least: float):
                     met &= rows.rep[j] < rows.rep[i]
                     x, y = np.nonzero(met)
                     a, b = i[x, 0], j[0, y]
-                u, v = np.maximum(rows.rep[a], rows.rep[b]), np.minimum(rows.rep[a], rows.rep[b])
+                kept = rows.allowed(a, b, least)[0]
+                u, v = rows.rep[a[kept]], rows.rep[b[kept]]
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], ["u", "v"])
 
     return run
 
 
-def _dealt(texts: DataFrame, pairs: bool) -> DataFrame:
+def _dealt(texts: DataFrame, pairs: bool = False) -> DataFrame:
     """``texts``, which have ``keys``, by bucket. Buckets of many texts are dealt in blocks; with ``pairs`` each pair of blocks meets in a cell."""
     buckets = texts.select("*", F.explode("keys").alias("key")).drop("keys")
+    if "tree" in texts.columns:  # what is in one tree is not compared any more
+        mixed = texts.select("tree", F.explode("keys").alias("key")).groupBy("key").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select("key")
+        buckets = buckets.join(stage(mixed, "mixed"), "key", "left_semi")
     many = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("blocks")).where("blocks > 1").select(F.col("key").alias("hot"), "blocks")
     buckets = buckets.join(stage(many, "hot"), F.col("key") == F.col("hot"), "left").drop("hot").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     buckets = buckets.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))
@@ -274,6 +320,15 @@ def _dealt(texts: DataFrame, pairs: bool) -> DataFrame:
     return buckets.withColumn("cell", F.explode(cells))
 
 
+def _nearest_of(texts: DataFrame, least: float) -> DataFrame:
+    """``(u, v)``: each text with the nearest ones that any bucket has for it."""
+    names = [*NEAR, *(x for x in TREES if x in texts.columns)]
+    near = _in_buckets(_dealt(texts).select(*names)).mapInArrow(_nearest_pairs(names, least), "u long, v long, apart int")
+    near = near.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "v"))), 1, NEAREST + 1).alias("near"))
+    near = near.select(F.col("u").alias("a"), F.explode("near.v").alias("b"))
+    return near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def _in_buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
@@ -286,9 +341,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     whatever their lengths and wherever they differ, but for one pair in
     20 million. At first the nearest partners of each text are compared on
     their whole sets of shingles, and those that are similar enough are linked
-    to trees. Of a text in a bucket with other trees, the shingles that any
-    other tree has as well are counted: they bound its similarity to any text
-    there. All pairs between trees that this bound allows are then compared too.
+    to trees; then its nearest ones in other trees, a few times. At last all
+    pairs between trees are compared that the bitmaps of their sets' parities
+    allow, which bound the similarity from above.
     Equal texts are one row before that. Null texts count as empty; empty texts
     are copies of each other. Rows without doc_id are left out; a doc_id with
     several texts is one node, linked if any of them is.
@@ -313,36 +368,44 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
         for batch in pieces(batches):
             sets = [shingle_set(x) for x in texts_of(batch, "text")]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["id", "shingles"])
+            bits = pa.array([parity_bits(x).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), bits, lists], ["id", "size", "bits", "shingles"])
 
     def verify(batches):
         for batch in batches:
             a, b = ([x.values.to_numpy().view(np.uint64) for x in batch.column(k)] for k in ("shingles_u", "shingles_v"))
             yield batch.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    near = _in_buckets(_dealt(reps.select("rep", "low", "high", "keys"), pairs=False).select(*NEAR)).mapInArrow(_nearest_pairs, "u long, v long, apart int")
-    near = near.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "v"))), 1, NEAREST + 1).alias("near"))
-    edges = stage(near.select(F.col("u").alias("a"), F.explode("near.v").alias("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "candidates")
+    edges = stage(_nearest_of(reps.select("rep", "low", "high", "keys"), least), "candidates")
     ids = stage(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
     # whole shingle sets of the texts that may have partners
-    sets = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(whole, "id long, shingles array<long>")
+    sets = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(whole, "id long, size long, bits binary, shingles array<long>")
     sets = stage(sets.repartition("id").distinct(), "sets")
     of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}"))
     linked = lambda edges: edges.join(of("u"), "u").join(of("v"), "v").mapInArrow(verify, "u long, v long")
-    groups = components(linked(edges.where("u <> v")))
-    trees = reps.join(ids, F.col("rep") == F.col("id"), "left_semi").join(groups, F.col("rep") == F.col("node"), "left")
-    trees = stage(trees.select("rep", "low", "high", "keys", F.coalesce("component", "rep").alias("tree")), "trees")
-    mixed = lambda rows, key: rows.groupBy(key).agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select(key)
-    keyed = trees.select("rep", "tree", F.explode("keys").alias("key"))
-    alive = stage(keyed.join(mixed(keyed, "key"), "key", "left_semi").select("rep", "tree").distinct(), "alive")
-    shingles = alive.join(sets, F.col("rep") == F.col("id")).select("rep", "tree", F.size("shingles").alias("size"), F.explode_outer("shingles").alias("shingle"))
-    shared = shingles.join(mixed(shingles, "shingle"), "shingle", "left_semi").groupBy("rep").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("shared"))
-    shared = stage(shared.where(F.col("shared") >= least * F.col("size") - 1e-6), "shared")
-    others = _in_buckets(_dealt(trees.join(shared, "rep"), pairs=True)).select(*NEAR, "block", "tree", "size", "shared").mapInArrow(_other_pairs(least), "u long, v long")
-    others = stage(others.distinct().join(edges, ["u", "v"], "left_anti"), "candidates")
+    texts = stage(reps.drop("same").join(sets.drop("shingles"), F.col("rep") == F.col("id")).drop("id"), "texts")
+
+    def in_trees(groups):
+        found = texts.join(groups, F.col("rep") == F.col("node"), "left")
+        return stage(found.select(*texts.columns, F.coalesce("component", "rep").alias("tree")), "trees")
+
+    def joined(groups, more):
+        return components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+
+    compared = edges.where("u <> v")
+    groups = components(linked(compared))
+    for _ in range(ROUNDS - 1):
+        fresh = stage(_nearest_of(in_trees(groups), least).where("u <> v").join(compared, ["u", "v"], "left_anti"), "candidates")
+        more = stage(linked(fresh), "links")
+        compared = compared.union(fresh)
+        if more.isEmpty():
+            break
+        groups = joined(groups, more)
+    others = _in_buckets(_dealt(in_trees(groups), pairs=True)).select(*NEAR, *TREES, "block").mapInArrow(_other_pairs(least), "u long, v long")
+    others = stage(others.distinct().join(compared, ["u", "v"], "left_anti"), "candidates")
     more = stage(linked(others), "links")
     if not more.isEmpty():
-        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+        groups = joined(groups, more)
     found = reps.join(groups, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("kept_id"))
     return described.select("doc_id", "same").join(found, "same").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
 

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tarnlake.llm.common import stage
+from tarnlake.llm import simhash
 from tarnlake.llm.simhash import drop_near_duplicates, near_duplicates
 from tests.conftest import SF
 from tests.llm import test_decontaminate, test_packing, test_substrings
@@ -174,3 +175,41 @@ def test_long_texts_by_their_whole_shingle_sets(spark):
                 want[i + 1] = i if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else i + 1
     got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [i for i in want if got[i] != want[i]] == []
+
+
+def test_bitmaps_bound_the_similarity_from_above():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 40, 300, 5000):
+        for share in (0.5, 0.79, 0.8, 0.81, 1.0):
+            x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            y = np.concatenate((x[: int(n * share)], rng.integers(0, 1 << 63, n - int(n * share)).astype(np.uint64)))
+            x, y = np.unique(x), np.unique(y)
+            rows = simhash._Rows({"bits": np.stack([simhash.parity_bits(z).view(np.uint64) for z in (x, y)]), "size": np.array([len(x), len(y)])})
+            ok, differ = rows.allowed(np.array([0]), np.array([1]), 0.8)
+            assert ok[0] or simhash.similarity(x, y) < 0.8
+            assert differ[0] <= 10_000 * len(np.setxor1d(x, y)) / max(1, len(x) + len(y))
+
+
+def test_buckets_of_many_texts_lose_no_pair(spark, monkeypatch):
+    """Against all pairs, with buckets that are dealt in many blocks, among texts around the least similarity."""
+    rng = random.Random(17)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(90)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(90), rng.choice((0, 1, 2, 3, 4, 6))):
+            w[at] = f"x{rng.randint(0, 30)}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = [new if p == old else p for p in parent]
+    assert 5 < len(set(parent)) < 140
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (7, 1024):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = dict(near_duplicates(docs).collect())
+        assert [got[i] for i in range(150)] == parent
