@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA = "column_name string, row_count bigint, min_value string, max_value string, ndv bigint, null_count bigint, avg_width double"
-
 
 @dataclass(frozen=True)
 class ColumnStatistics:
