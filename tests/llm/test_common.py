@@ -64,3 +64,18 @@ def _laid(spans, gap):
         begins.append(len(data))
         data += x
     return np.frombuffer(data, np.uint8), np.array(begins), np.array([len(x) for x in spans])
+
+
+@pytest.mark.parametrize(("master", "allowed"), [("local", True), ("local[8]", True), ("local[*]", True), ("local-cluster[3,2,1024]", False), ("yarn", False), ("spark://h:7077", False)])
+def test_a_cluster_needs_a_shared_folder(master, allowed):
+    from types import SimpleNamespace
+
+    kept = {}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: kept.get(k, d), set=kept.__setitem__), sparkContext=SimpleNamespace(master=master))
+    if allowed:
+        assert common.shared_dir(spark) == kept[common.CHECKPOINT_DIR]
+    else:
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(spark)
+    kept[common.CHECKPOINT_DIR] = "hdfs://x/y/"
+    assert common.shared_dir(spark) == "hdfs://x/y"
