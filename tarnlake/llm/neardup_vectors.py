@@ -91,15 +91,17 @@ def _choose_pivots(classes: DataFrame, n: int, cell: int) -> dict[int, Pivots]:
     return found
 
 
-PLACED = "length int, cell int, block int, replica boolean, far double, rep long, n long, vec binary"
+PLACED = "place int, replica boolean, far double, rep long, n long, vec binary"
 
 
 def _place(classes: DataFrame, pivots: dict[int, Pivots], most: float, blocks: dict[tuple[int, int], int] | None) -> DataFrame:
-    """Rows of ``classes(rep, n, vec)`` by cell and block; without ``blocks``, how many are at home in each cell."""
-    shared = classes.sparkSession.sparkContext.broadcast((pivots, blocks))  # a vector and a count for each cell
+    """Rows of ``classes(rep, n, vec)`` by place, one for each block of a cell; without ``blocks``, how many are at home in each cell."""
+    cells = sorted(blocks or {})
+    places = dict(zip(cells, np.cumsum([0, *(blocks[c] for c in cells)]).tolist(), strict=False))  # the first of each cell
+    shared = classes.sparkSession.sparkContext.broadcast((pivots, blocks, places))  # a vector and two numbers for each cell
 
     def rows_of(batches):
-        known, cut = shared.value
+        known, cut, _ = shared.value
         for batch in batches:
             reps, weights, vecs = (batch.column(x).to_pylist() for x in ("rep", "n", "vec"))
             sizes = np.array([len(v) for v in vecs])
@@ -129,15 +131,14 @@ def _place(classes: DataFrame, pivots: dict[int, Pivots], most: float, blocks: d
             own = np.array([hash(reps[i]) % cut[length, h] for i, h in zip(at.tolist(), home.tolist(), strict=True)], np.int64)
             row, cell, block = np.append(row, np.arange(len(at))), np.append(cell, home), np.append(block, own)
             replica = np.arange(len(row)) < len(row) - len(at)
+            first = shared.value[2]
+            spot = np.array([first.get((length, c), 0) for c in range(needed.shape[1])])[cell] + block
             for i in range(0, len(row), 20_000):
                 cut_out = slice(i, i + 20_000)
                 part = at[row[cut_out]].tolist()
-                columns = (cell[cut_out], block[cut_out], replica[cut_out], far[row[cut_out], cell[cut_out]], [reps[r] for r in part], [weights[r] for r in part], [vecs[r] for r in part])
-                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([length] * len(part), pa.int32()), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))],
-                    ["length", "cell", "block", "replica", "far", "rep", "n", "vec"],
-                )
+                columns = (spot[cut_out], replica[cut_out], far[row[cut_out], cell[cut_out]], [reps[r] for r in part], [weights[r] for r in part], [vecs[r] for r in part])
+                kinds = (pa.int32(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["place", "replica", "far", "rep", "n", "vec"])
 
     return classes.mapInArrow(place, PLACED)
 
@@ -190,7 +191,7 @@ def _join_cells(placed: DataFrame, parts: int, least: float) -> DataFrame:
         schema = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, schema=schema)
         for batch in batches:
-            keys = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "cell", "block", "replica")], axis=1)
+            keys = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("place", "replica")], axis=1)
             cuts = sorted({0, len(keys), *range(0, len(keys), MET), *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()})
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 *key, replica = keys[a].tolist()
@@ -210,8 +211,7 @@ def _join_cells(placed: DataFrame, parts: int, least: float) -> DataFrame:
         if now is not None:
             yield made(block.end())
 
-    keys = ["length", "cell", "block"]
-    return placed.repartition(parts, *keys).sortWithinPartitions(*keys, "replica", "far").mapInArrow(run, JOINED)
+    return placed.repartitionById(parts, F.col("place")).sortWithinPartitions("place", "replica", "far").mapInArrow(run, JOINED)
 
 
 def vector_groups(vectors: DataFrame, least_cosine: float = LEAST_COSINE, block: int = BLOCK) -> DataFrame:
