@@ -8,10 +8,15 @@ halves that differ in a single bit lacks it), fetches the table's matches and
 keeps those whose whole distance is small enough. Keys of 32 bits stay
 selective over billions of fingerprints, and copies never meet: they share one
 fingerprint.
+
+Near copies by the similarity of whole shingle sets differ in more bits than
+such balls reach. ``near_duplicates`` finds them by wider SimHashes, which are
+stored under many short segments.
 """
 
 from __future__ import annotations
 
+import math
 from hashlib import sha256
 
 import numpy as np
@@ -110,16 +115,20 @@ def simhash_groups(docs: DataFrame, size: int = 3, most_bits: int = MOST_BITS) -
 
 #: Of near_duplicates: words in a shingle, least similarity.
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
-#: MinHash bands and hashes in each. Two sets with a similarity of 0.8 share no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
-BANDS, ROWS = 32, 4
-#: Of the lowest bits of all 128 minima, how many may differ. At 0.8 more differ with a probability of 2e-6; at 0.53 half of the pairs pass.
-MOST_APART = 30
-#: Texts of a bucket that one task compares with each other, nearest ones of a text that are verified at a time, and how often at most.
+#: At most this share of SimHash bits differs between two sets with a similarity of 0.8: 0.1515, the angle over pi, in large ones, 0.164 in ones of 4 and 5.
+FLIPS = 0.165
+#: How often two such sets may share no segment, and the mean number of texts that share one, by which segments are cut.
+MISSED, SHARED = 1e-6, 2048
+#: The words of a fingerprint that are compared as a whole, and how many of their 192 bits may differ. At 0.8 more differ with a
+#: probability of 5e-7 (3e-6 in sets of 4 and 5), at 0.44 half of the pairs pass, of unrelated pairs 4e-9. The last is of the first two words.
+SKETCH, MOST_APART, MOST_IN_TWO = ["s0", "s1", "s2"], 56, 48
+#: Texts of a bucket that one task compares with each other (at first four times as many), nearest ones of a text that are verified at a time, and how often at most.
 HOT, NEAREST, ROUNDS = 1024, 4, 3
 #: Bits of a parity bitmap.
 PARITY = 1024
-_LANES = np.random.default_rng(SEED).integers(1 << 20, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_MIX_2 = np.uint64(0x94D049BB133111EB)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -127,28 +136,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def minima(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """MinHash of the shingles: the least value of each lane; no words give the largest one."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for hashes in shingle_hashes(text, size):
-        high = (hashes >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(high), 256):
-            np.minimum(least, (high[at : at + 256, None] * _LANES).min(axis=0), out=least)
-    return least
+def tables(texts: int) -> tuple[int, int]:
+    """The width of a segment in bits and the number of segments, each of which has a table, for so many texts."""
+    width = max(5, math.ceil(math.log2(max(1, texts) / SHARED)))
+    return width, math.ceil(math.log(MISSED) / math.log1p(-((1 - FLIPS) ** width)))
 
 
-def bands(least: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band."""
-    halves = least.reshape(BANDS, ROWS // 2, 2).astype(np.uint64)
-    keys = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for k in range(ROWS // 2):
-        keys = _mix(keys * _MIX + (halves[:, k, 0] << np.uint64(32) | halves[:, k, 1]))
-    return keys.view(np.int64)
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``64 * words`` bits of a set of hashes. Each votes -3, -1, 1 or 3 on a bit, so that few votes seldom tie; no hashes give 0."""
+    ones, salt = np.zeros(128 * words, np.int64), np.arange(1, 2 * words + 1, dtype=np.uint64) * _STEP
+    for at in range(0, len(shingles), 255):
+        x = _mix(shingles[at : at + 255, None] + salt) * _MIX_2
+        bits = np.unpackbits((x ^ x >> np.uint64(31)).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    votes = 2 * ones[: 64 * words] + ones[64 * words :]
+    return np.packbits(2 * votes > 3 * len(shingles), bitorder="little").view(np.uint64)
 
 
-def lowest_bits(least: np.ndarray) -> np.ndarray:
-    """A bit of each lane, in two words."""
-    return np.packbits((_mix(least.astype(np.uint64)) >> np.uint64(40) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
+def segments(fingerprint: np.ndarray, width: int, count: int) -> np.ndarray:
+    """A key of each segment of a wide fingerprint: its number, then its bits."""
+    bits = np.unpackbits(fingerprint.view(np.uint8), bitorder="little")[: width * count].reshape(count, width)
+    return (np.arange(count) << width) + bits @ (1 << np.arange(width))
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -170,7 +178,7 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Rows of buckets as arrays: ``key`` and ``cell`` of the bucket, the bits ``low`` and ``high`` of a text, and more."""
+    """Rows of buckets as arrays: ``key`` and ``cell`` of the bucket, the words of ``SKETCH`` of a text, and more."""
 
     def __init__(self, columns: dict[str, np.ndarray]) -> None:
         self.columns = columns
@@ -188,13 +196,20 @@ class _Rows:
     @staticmethod
     def of(batch: pa.RecordBatch, names: list[str]) -> _Rows:
         columns = {x: batch.column(x).to_numpy() for x in names if x != "bits"}
-        columns |= {x: columns[x].view(np.uint64) for x in ("low", "high")}
+        columns |= {x: columns[x].view(np.uint64) for x in SKETCH}
         if "bits" in names:
             columns["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
         return _Rows(columns)
 
-    def apart(self, i, j) -> np.ndarray:
-        return np.bitwise_count(self.low[i] ^ self.low[j]).astype(np.int16) + np.bitwise_count(self.high[i] ^ self.high[j])
+    def apart(self, i, j, words: list[str] = SKETCH) -> np.ndarray:
+        """How many bits of some words of the fingerprints differ."""
+        return sum(np.bitwise_count(self.columns[x][i] ^ self.columns[x][j]) for x in words)
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the matrix of ``i``, a column, and ``j``, a row, two fingerprints are close."""
+        x, y = np.nonzero(self.apart(i, j, SKETCH[:2]) <= MOST_IN_TWO)
+        near = self.apart(i[x, 0], j[0, y]) <= MOST_APART
+        return x[near], y[near]
 
     def allowed(self, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Of some pairs, whether their bitmaps allow for a similarity of ``least``, and by how much in 10,000 their sets differ at least."""
@@ -233,33 +248,74 @@ def _compared(rows: _Rows):
     two = first[size == 2]
     yield two, two + 1
     for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-        for at in range(a, a + n, 512):
-            yield np.arange(at, min(at + 512, a + n))[:, None], np.arange(a, a + n)[None, :]
+        for at in range(a, a + n, 128):
+            yield np.arange(at, min(at + 128, a + n))[:, None], np.arange(a, a + n)[None, :]
 
 
-NEAR = ["key", "cell", "low", "high", "rep", "blocks"]
+NEAR = ["key", "cell", *SKETCH, "rep", "blocks"]
 TREES = ["tree", "size", "bits"]
 _FAR = 1 << 20
 
 
-def _nearest_pairs(names: list[str], least: float):
-    """From each text to its nearest one in a bucket and the nearest with a smaller id, ``(u, v, apart)``; to itself if other blocks may hold more.
+def _first_pairs(batches):
+    """From each text to all that are close to it in a bucket, ``(u, v, apart)``.
 
-    With trees in ``names``, to those in other trees that the bitmaps allow.
+    Where these are more than ``NEAREST``, only to its nearest one and the
+    nearest with a smaller id, and to itself, ``apart`` being -1, as it is if
+    other blocks may hold more.
     """
+    for rows in _buckets(batches, NEAR):
+        some = rows.rep[rows.blocks > 1]
+        us, vs, ds = [some], [some], [np.full(len(some), -1)]
+
+        def add(i, j, apart):
+            us.append(rows.rep[i])  # noqa: B023
+            vs.append(rows.rep[j])  # noqa: B023
+            ds.append(apart)  # noqa: B023
+
+        for i, j in _compared(rows):
+            if i.ndim == 1:
+                far = rows.apart(i, j).astype(np.int64)
+                i, j, far = (x[far <= MOST_APART] for x in (i, j, far))
+                add(i, j, far)
+                add(j, i, far)
+                continue
+            x, y = rows.close(i, j)
+            other = i[x, 0] != j[0, y]
+            x, y = x[other], y[other]
+            if not len(x):
+                continue
+            many = np.bincount(x, minlength=len(i)) > NEAREST
+            few = ~many[x]
+            a, b = i[x[few], 0], j[0, y[few]]
+            add(a, b, rows.apart(a, b).astype(np.int64))
+            if many.any():
+                mine = i[many]
+                far = rows.apart(mine, j).astype(np.int64)
+                far[(mine == j) | (far > MOST_APART)] = _FAR
+                add(mine[:, 0], mine[:, 0], np.full(len(mine), -1))
+                for d in (far, np.where(rows.rep[j] < rows.rep[mine], far, _FAR)):
+                    near = d.argmin(axis=1)
+                    there = d[np.arange(len(near)), near] < _FAR
+                    add(mine[there, 0], j[0, near[there]], d[there, near[there]])
+        u, v, d = (np.concatenate(x) for x in (us, vs, ds))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.int32())], ["u", "v", "apart"])
+
+
+def _nearest_pairs(least: float):
+    """From each text to its nearest one in a bucket and the nearest with a smaller id, ``(u, v, apart)``, of those in other trees that the bitmaps allow."""
 
     def distances(rows, i, j):
         far = rows.apart(i, j).astype(np.int64)
-        good = far <= MOST_APART if i.ndim == 1 else (far <= MOST_APART) & (i != j)
-        if "tree" in names:
-            good &= rows.tree[i] != rows.tree[j]
-            at = np.nonzero(good)
-            a, b = (i[at], j[at]) if i.ndim == 1 else (i[at[0], 0], j[0, at[1]])
-            good[at], far[at] = rows.allowed(a, b, least)
+        good = (far <= MOST_APART) & (rows.tree[i] != rows.tree[j])
+        at = np.nonzero(good)
+        a, b = (i[at], j[at]) if i.ndim == 1 else (i[at[0], 0], j[0, at[1]])
+        good[at], far[at] = rows.allowed(a, b, least)
         return np.where(good, far, _FAR)
 
     def run(batches):
-        for rows in _buckets(batches, names):
+        for rows in _buckets(batches, [*NEAR, *TREES]):
             us, vs, ds = [], [], []
             for i, j in _compared(rows):
                 far = distances(rows, i, j)
@@ -274,8 +330,7 @@ def _nearest_pairs(names: list[str], least: float):
                     us.append(mine)
                     vs.append(rows.rep[j[0, near]])
                     ds.append(d[np.arange(len(near)), near])
-            some = rows.rep[rows.blocks > 1]
-            u, v, d = (np.concatenate(x) for x in ([*us, some], [*vs, some], [*ds, np.zeros(len(some))]))
+            u, v, d = (np.concatenate(x) for x in (us, vs, ds))
             kept = d < _FAR
             yield pa.RecordBatch.from_arrays([pa.array(u[kept], pa.int64()), pa.array(v[kept], pa.int64()), pa.array(d[kept], pa.int32())], ["u", "v", "apart"])
 
@@ -288,15 +343,18 @@ def _other_pairs(least: float):
     def run(batches):
         for rows in _buckets(batches, [*NEAR, *TREES, "block"]):
             for i, j in _compared(rows):
-                met = (rows.tree[i] != rows.tree[j]) & (rows.apart(i, j) <= MOST_APART)
-                # of two blocks, rows of the same one meet elsewhere
-                met &= (rows.block[i] != rows.block[j]) | (rows.cell[i] // rows.blocks[i] == rows.cell[i] % rows.blocks[i])
                 if i.ndim == 1:
-                    a, b = i[met], j[met]
+                    near = rows.apart(i, j) <= MOST_APART
+                    a, b = i[near], j[near]
                 else:
-                    met &= rows.rep[j] < rows.rep[i]
-                    x, y = np.nonzero(met)
+                    x, y = rows.close(i, j)
                     a, b = i[x, 0], j[0, y]
+                    once = rows.rep[b] < rows.rep[a]
+                    a, b = a[once], b[once]
+                met = rows.tree[a] != rows.tree[b]
+                # of two blocks, rows of the same one meet elsewhere
+                met &= (rows.block[a] != rows.block[b]) | (rows.cell[a] // rows.blocks[a] == rows.cell[a] % rows.blocks[a])
+                a, b = a[met], b[met]
                 kept = rows.allowed(a, b, least)[0]
                 u, v = rows.rep[a[kept]], rows.rep[b[kept]]
                 if len(u):
@@ -311,7 +369,8 @@ def _dealt(texts: DataFrame, pairs: bool = False) -> DataFrame:
     if "tree" in texts.columns:  # what is in one tree is not compared any more
         mixed = texts.select("tree", F.explode("keys").alias("key")).groupBy("key").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select("key")
         buckets = buckets.join(stage(mixed, "mixed"), "key", "left_semi")
-    many = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("blocks")).where("blocks > 1").select(F.col("key").alias("hot"), "blocks")
+    most = HOT if "tree" in texts.columns else 4 * HOT
+    many = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks")).where("blocks > 1").select(F.col("key").alias("hot"), "blocks")
     buckets = buckets.join(stage(many, "hot"), F.col("key") == F.col("hot"), "left").drop("hot").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     buckets = buckets.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))
     if not pairs:
@@ -321,10 +380,16 @@ def _dealt(texts: DataFrame, pairs: bool = False) -> DataFrame:
 
 
 def _nearest_of(texts: DataFrame, least: float) -> DataFrame:
-    """``(u, v)``: each text with the nearest ones that any bucket has for it."""
-    names = [*NEAR, *(x for x in TREES if x in texts.columns)]
-    near = _in_buckets(_dealt(texts).select(*names)).mapInArrow(_nearest_pairs(names, least), "u long, v long, apart int")
-    near = near.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "v"))), 1, NEAREST + 1).alias("near"))
+    """``(u, v)``: what any bucket has for each text, but of a text that has more than that only the nearest ones and ``(u, u)``.
+
+    With trees, only the nearest ones of each text in other trees.
+    """
+    trees = "tree" in texts.columns
+    rows = _in_buckets(_dealt(texts).select(*NEAR, *(TREES if trees else [])))
+    near = rows.mapInArrow(_nearest_pairs(least) if trees else _first_pairs, "u long, v long, apart int")
+    near = near.groupBy("u").agg(F.array_sort(F.collect_set(F.struct("apart", "v"))).alias("near"))
+    nearest = F.slice("near", 1, NEAREST + 1)
+    near = near.select("u", (nearest if trees else F.when(F.col("near")[0]["apart"] < 0, nearest).otherwise(F.col("near"))).alias("near"))
     near = near.select(F.col("u").alias("a"), F.explode("near.v").alias("b"))
     return near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
@@ -336,33 +401,39 @@ def _in_buckets(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """``(doc_id, kept_id)``: the smallest id of the group of each document that has one, exact and near copies.
 
-    Texts meet in a bucket if the minima of a band of MinHashes of their
-    five-word shingles are equal, which finds any two with a similarity of 0.8,
-    whatever their lengths and wherever they differ, but for one pair in
-    20 million. At first the nearest partners of each text are compared on
-    their whole sets of shingles, and those that are similar enough are linked
-    to trees; then its nearest ones in other trees, a few times. At last all
-    pairs between trees are compared that the bitmaps of their sets' parities
-    allow, which bound the similarity from above.
+    Each text has a wide SimHash of its five-word shingles, cut in segments of
+    a few bits. Texts meet in a bucket of a segment's table if they have its
+    bits in common, and are candidates if few bits of the first 192 differ.
+    Of texts with a similarity of 0.8, whatever their lengths and wherever they
+    differ, less than a pair in a million is missed, and four in a million where
+    the sets have four and five shingles. Candidates are compared on their
+    whole sets of shingles, and those that are similar enough are linked to
+    trees. Of a text with many candidates, the nearest ones are compared first,
+    then its nearest ones in other trees, a few times. At last all pairs of
+    such texts between trees are compared that the bitmaps of their sets'
+    parities allow, which bound the similarity from above.
     Equal texts are one row before that. Null texts count as empty; empty texts
     are copies of each other. Rows without doc_id are left out; a doc_id with
     several texts is one node, linked if any of them is.
     """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    width, count = tables(rows.count())
+    words = max(len(SKETCH), -(-width * count // 64))
 
     def describe(batches):
         for batch in pieces(batches):
             found = texts_of(batch, "text")
-            least_of = [minima(x) for x in found]
-            bits = np.array([lowest_bits(x) for x in least_of]).reshape(-1, 2)
+            prints = [wide_fingerprint(shingle_set(x), words) for x in found]
+            sketch = np.array([x[: len(SKETCH)] for x in prints]).view(np.int64)
             columns = [
-                pa.array([sha256(x).digest() for x in found], pa.binary()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()),
-                pa.array([bands(x) for x in least_of], pa.list_(pa.int64())),
+                pa.array([sha256(x).digest() for x in found], pa.binary()), *(pa.array(x.copy()) for x in sketch.T),
+                pa.array([segments(x, width, count) for x in prints], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "same", "low", "high", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "same", *SKETCH, "keys"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stage(rows.mapInArrow(describe, "doc_id long, same binary, low long, high long, keys array<long>"), "described")
-    reps = stage(described.groupBy("same", "low", "high", "keys").agg(F.min("doc_id").alias("rep")), "reps")
+    longs = ", ".join(f"{x} long" for x in SKETCH)
+    described = stage(rows.mapInArrow(describe, f"doc_id long, same binary, {longs}, keys array<long>"), "described")
+    reps = stage(described.groupBy("same", *SKETCH, "keys").agg(F.min("doc_id").alias("rep")), "reps")
 
     def whole(batches):
         for batch in pieces(batches):
@@ -376,14 +447,22 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
             a, b = ([x.values.to_numpy().view(np.uint64) for x in batch.column(k)] for k in ("shingles_u", "shingles_v"))
             yield batch.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    edges = stage(_nearest_of(reps.select("rep", "low", "high", "keys"), least), "candidates")
+    edges = stage(_nearest_of(reps.select("rep", *SKETCH, "keys"), least), "candidates")
     ids = stage(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
     # whole shingle sets of the texts that may have partners
     sets = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(whole, "id long, size long, bits binary, shingles array<long>")
     sets = stage(sets.repartition("id").distinct(), "sets")
     of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}"))
     linked = lambda edges: edges.join(of("u"), "u").join(of("v"), "v").mapInArrow(verify, "u long, v long")
-    texts = stage(reps.drop("same").join(sets.drop("shingles"), F.col("rep") == F.col("id")).drop("id"), "texts")
+    compared = edges.where("u <> v")
+    groups = components(linked(compared))
+    many = edges.where("u = v").select("u")  # texts with more candidates than these
+    named = lambda groups: reps.join(groups, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("kept_id"))
+    kept = lambda found: described.select("doc_id", "same").join(found, "same").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
+    if many.isEmpty():
+        return kept(named(groups))
+    texts = reps.drop("same").join(many, F.col("rep") == F.col("u"), "left_semi")
+    texts = stage(texts.join(sets.drop("shingles"), F.col("rep") == F.col("id")).drop("id"), "texts")
 
     def in_trees(groups):
         found = texts.join(groups, F.col("rep") == F.col("node"), "left")
@@ -392,8 +471,6 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     def joined(groups, more):
         return components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
-    compared = edges.where("u <> v")
-    groups = components(linked(compared))
     for _ in range(ROUNDS - 1):
         fresh = stage(_nearest_of(in_trees(groups), least).where("u <> v").join(compared, ["u", "v"], "left_anti"), "candidates")
         more = stage(linked(fresh), "links")
@@ -406,8 +483,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     more = stage(linked(others), "links")
     if not more.isEmpty():
         groups = joined(groups, more)
-    found = reps.join(groups, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("kept_id"))
-    return described.select("doc_id", "same").join(found, "same").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
+    return kept(named(groups))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:

@@ -213,3 +213,50 @@ def test_buckets_of_many_texts_lose_no_pair(spark, monkeypatch):
         monkeypatch.setattr(simhash, "HOT", hot)
         got = dict(near_duplicates(docs).collect())
         assert [got[i] for i in range(150)] == parent
+
+
+def test_wide_fingerprints_are_simhashes():
+    rng = np.random.default_rng(21)
+    for common, x, y in ((4, 1, 0), (12, 2, 1), (40, 5, 5), (400, 100, 0)):
+        apart, words = [], 4
+        for _ in range(150):
+            z = rng.integers(0, 1 << 63, common + x + y).astype(np.uint64)
+            pair = [simhash.wide_fingerprint(s, words) for s in (z[: common + x], np.append(z[:common], z[common + x :]))]
+            apart.append(int(np.bitwise_count(pair[0] ^ pair[1]).sum()))
+        assert np.mean(apart) / (64 * words) < simhash.FLIPS + 0.01
+    z = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+    single = [np.unpackbits(simhash.wide_fingerprint(z[i : i + 1], 3).view(np.uint8)) for i in range(700)]
+    assert abs(np.mean(single) - 0.5) < 0.01
+    whole = np.unpackbits(simhash.wide_fingerprint(z, 3).view(np.uint8))
+    assert np.mean(whole == (2 * np.sum(single, axis=0) > 700)) > 0.7  # votes of two strengths, of which these are the signs
+    assert (simhash.wide_fingerprint(rng.permutation(z), 3) == simhash.wide_fingerprint(z, 3)).all()
+    assert not simhash.wide_fingerprint(z[:0], 3).any()
+
+
+def test_tables_find_pairs_of_the_least_similarity():
+    rng = np.random.default_rng(22)
+    for texts in (10, 50_000, 1_000_000):
+        width, count = simhash.tables(texts)
+        assert (1 - (1 - simhash.FLIPS) ** width) ** count <= simhash.MISSED and texts / 2**width <= simhash.SHARED
+        words = max(3, -(-width * count // 64))
+        for common, x, y in ((4, 1, 0), (40, 10, 0), (80, 10, 10)):
+            for _ in range(50):
+                z = rng.integers(0, 1 << 63, common + x + y).astype(np.uint64)
+                a, b = (simhash.wide_fingerprint(s, words) for s in (z[: common + x], np.append(z[:common], z[common + x :])))
+                p, q = (simhash.segments(f, width, count) for f in (a, b))
+                assert len(set(p.tolist())) == count and (p == q).any()
+                assert np.bitwise_count(a[:3] ^ b[:3]).sum() <= simhash.MOST_APART and np.bitwise_count(a[:2] ^ b[:2]).sum() <= simhash.MOST_IN_TWO
+
+
+def test_near_copies_meet_by_their_simhashes(spark, monkeypatch):
+    """With one table of a long segment, only texts whose whole segments agree meet."""
+    words = [f"w{i * i}" for i in range(200)]
+    changed = [*words[:100], "changed", *words[101:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words).upper()), (3, " ".join(changed))], "doc_id long, text string")
+    docs = docs.withColumn("n_chars", docs["doc_id"] * 0)
+    left = lambda: {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()}
+    assert left() == {1}
+    monkeypatch.setattr(simhash, "tables", lambda texts: (60, 1))
+    prints = [simhash.wide_fingerprint(simhash.shingle_set(" ".join(w).encode()), 3) for w in (words, changed)]
+    assert simhash.segments(prints[0], 60, 1) != simhash.segments(prints[1], 60, 1)
+    assert left() == {1, 3}
