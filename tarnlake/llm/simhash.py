@@ -122,7 +122,7 @@ MISSED, SHARED = 1e-6, 2048
 #: The words of a fingerprint that are compared as a whole, and how many of their 192 bits may differ. At 0.8 more differ with a
 #: probability of 5e-7 (3e-6 in sets of 4 and 5), at 0.44 half of the pairs pass, of unrelated pairs 4e-9. The last is of the first two words.
 SKETCH, MOST_APART, MOST_IN_TWO = ["s0", "s1", "s2"], 56, 48
-#: Texts of a bucket that one task compares with each other (at first four times as many), nearest ones of a text that are verified at a time, and how often at most.
+#: Texts of a bucket that one task compares with each other (four times as many at first, and of those outside its largest tree), nearest ones of a text that are verified at a time, and how often at most.
 HOT, NEAREST, ROUNDS = 1024, 4, 3
 #: Bits of a parity bitmap.
 PARITY = 1024
@@ -304,7 +304,10 @@ def _first_pairs(batches):
 
 
 def _nearest_pairs(least: float):
-    """From each text to its nearest one in a bucket and the nearest with a smaller id, ``(u, v, apart)``, of those in other trees that the bitmaps allow."""
+    """From each text to all in a cell that the bitmaps allow and that are in other trees, ``(u, v, apart)``, by the bitmaps.
+
+    Where these are more than ``NEAREST``, or other cells may hold more, as in ``_first_pairs``.
+    """
 
     def distances(rows, i, j):
         far = rows.apart(i, j).astype(np.int64)
@@ -316,7 +319,8 @@ def _nearest_pairs(least: float):
 
     def run(batches):
         for rows in _buckets(batches, [*NEAR, *TREES]):
-            us, vs, ds = [], [], []
+            some = rows.rep[rows.blocks > 1]
+            us, vs, ds = [some], [some], [np.full(len(some), -1)]
             for i, j in _compared(rows):
                 far = distances(rows, i, j)
                 if i.ndim == 1:
@@ -324,7 +328,14 @@ def _nearest_pairs(least: float):
                     vs += [rows.rep[j], rows.rep[i]]
                     ds += [far, far]
                     continue
-                mine = rows.rep[i[:, 0]]
+                mine, many = rows.rep[i[:, 0]], (far < _FAR).sum(axis=1) > NEAREST
+                x, y = np.nonzero((far < _FAR) & ~many[:, None])
+                us += [mine[x], mine[many]]
+                vs += [rows.rep[j[0, y]], mine[many]]
+                ds += [far[x, y], np.full(int(many.sum()), -1)]
+                mine, far = mine[many], far[many]
+                if not len(mine):
+                    continue
                 for d in (far, np.where(rows.rep[j] < mine[:, None], far, _FAR)):
                     near = d.argmin(axis=1)
                     us.append(mine)
@@ -352,7 +363,7 @@ def _other_pairs(least: float):
                     once = rows.rep[b] < rows.rep[a]
                     a, b = a[once], b[once]
                 met = rows.tree[a] != rows.tree[b]
-                # of two blocks, rows of the same one meet elsewhere
+                # where cells share rows, those of the same block meet in one of them
                 met &= (rows.block[a] != rows.block[b]) | (rows.cell[a] // rows.blocks[a] == rows.cell[a] % rows.blocks[a])
                 a, b = a[met], b[met]
                 kept = rows.allowed(a, b, least)[0]
@@ -364,32 +375,45 @@ def _other_pairs(least: float):
 
 
 def _dealt(texts: DataFrame, pairs: bool = False) -> DataFrame:
-    """``texts``, which have ``keys``, by bucket. Buckets of many texts are dealt in blocks; with ``pairs`` each pair of blocks meets in a cell."""
+    """``texts``, which have ``keys``, by bucket, in cells of about ``HOT`` texts.
+
+    With trees, those of a bucket's largest tree are dealt over its cells, and
+    all others of the bucket are in each of these, so that whatever is to be
+    compared meets. Only where these others are many is all the bucket dealt in
+    blocks; with ``pairs`` each pair of blocks meets in a cell.
+    """
     buckets = texts.select("*", F.explode("keys").alias("key")).drop("keys")
-    if "tree" in texts.columns:  # what is in one tree is not compared any more
-        mixed = texts.select("tree", F.explode("keys").alias("key")).groupBy("key").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a <> b").select("key")
-        buckets = buckets.join(stage(mixed, "mixed"), "key", "left_semi")
-    most = HOT if "tree" in texts.columns else 4 * HOT
-    many = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks")).where("blocks > 1").select(F.col("key").alias("hot"), "blocks")
-    buckets = buckets.join(stage(many, "hot"), F.col("key") == F.col("hot"), "left").drop("hot").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    buckets = buckets.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))
-    if not pairs:
-        return buckets.withColumn("cell", F.col("block"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least("block", j) * F.col("blocks") + F.greatest("block", j))
+    shared = F.pmod(F.xxhash64("rep", "key"), F.col("blocks"))
+    if "tree" not in texts.columns:
+        many = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (4 * HOT)).alias("blocks")).where("blocks > 1").select(F.col("key").alias("hot"), "blocks")
+        buckets = buckets.join(stage(many, "hot"), F.col("key") == F.col("hot"), "left").drop("hot").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        return buckets.withColumn("cell", shared)
+    counts = texts.select("tree", F.explode("keys").alias("key")).groupBy("key", "tree").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "tree")).alias("most"), F.sum("n").alias("n")).withColumn("others", F.col("n") - F.col("most.n"))
+    blocks = F.when(F.col("others") <= 4 * HOT, F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") / HOT))
+    # what is in one tree is not compared any more
+    mixed = mixed.where("others > 0").select("key", F.col("most.tree").alias("largest"), F.ceil(F.col("most.n") / HOT).alias("around"), blocks.alias("blocks"))
+    buckets = buckets.join(stage(mixed, "mixed"), "key")
+    whole, inside = F.col("blocks") == 1, F.col("tree") == F.col("largest")
+    buckets = buckets.withColumn("block", F.when(whole, inside.cast("long")).otherwise(shared))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    apart = F.transform(to("blocks"), lambda j: F.least("block", j) * F.col("blocks") + F.greatest("block", j)) if pairs else F.array("block")
+    cells = F.when(whole & inside, F.array(F.pmod(F.xxhash64("rep", "key"), F.col("around")))).when(whole, to("around")).otherwise(apart)
     return buckets.withColumn("cell", F.explode(cells))
 
 
 def _nearest_of(texts: DataFrame, least: float) -> DataFrame:
     """``(u, v)``: what any bucket has for each text, but of a text that has more than that only the nearest ones and ``(u, u)``.
 
-    With trees, only the nearest ones of each text in other trees.
+    With trees, only what is in other trees and allowed. As trees only grow, a
+    text without ``(u, u)`` will then have no others.
     """
     trees = "tree" in texts.columns
     rows = _in_buckets(_dealt(texts).select(*NEAR, *(TREES if trees else [])))
     near = rows.mapInArrow(_nearest_pairs(least) if trees else _first_pairs, "u long, v long, apart int")
     near = near.groupBy("u").agg(F.array_sort(F.collect_set(F.struct("apart", "v"))).alias("near"))
     nearest = F.slice("near", 1, NEAREST + 1)
-    near = near.select("u", (nearest if trees else F.when(F.col("near")[0]["apart"] < 0, nearest).otherwise(F.col("near"))).alias("near"))
+    near = near.select("u", F.when(F.col("near")[0]["apart"] < 0, nearest).otherwise(F.col("near")).alias("near"))
     near = near.select(F.col("u").alias("a"), F.explode("near.v").alias("b"))
     return near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
@@ -409,9 +433,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
     the sets have four and five shingles. Candidates are compared on their
     whole sets of shingles, and those that are similar enough are linked to
     trees. Of a text with many candidates, the nearest ones are compared first,
-    then its nearest ones in other trees, a few times. At last all pairs of
-    such texts between trees are compared that the bitmaps of their sets'
-    parities allow, which bound the similarity from above.
+    then its nearest ones in other trees, a few times, of those that the bitmaps
+    of their sets' parities allow, which bound the similarity from above. Only
+    texts with many of these go on, as the others are compared with all of
+    theirs. At last all pairs of what is left between trees are compared that
+    the bitmaps allow.
     Equal texts are one row before that. Null texts count as empty; empty texts
     are copies of each other. Rows without doc_id are left out; a doc_id with
     several texts is one node, linked if any of them is.
@@ -472,7 +498,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFra
         return components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     for _ in range(ROUNDS - 1):
-        fresh = stage(_nearest_of(in_trees(groups), least).where("u <> v").join(compared, ["u", "v"], "left_anti"), "candidates")
+        near = stage(_nearest_of(in_trees(groups), least), "nearest")
+        texts = texts.join(near.where("u = v").select("u"), F.col("rep") == F.col("u"), "left_semi")  # the others are settled
+        fresh = stage(near.where("u <> v").join(compared, ["u", "v"], "left_anti"), "candidates")
         more = stage(linked(fresh), "links")
         compared = compared.union(fresh)
         if more.isEmpty():

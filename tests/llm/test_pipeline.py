@@ -215,6 +215,24 @@ def test_buckets_of_many_texts_lose_no_pair(spark, monkeypatch):
         assert [got[i] for i in range(150)] == parent
 
 
+def test_compared_texts_leave_the_rounds(spark, monkeypatch):
+    """Texts that are close to many but similar to none are dealt to buckets once, not in each round."""
+    rng = random.Random(19)
+    word = lambda n: [f"w{rng.randint(0, 10**12)}" for _ in range(n)]
+    common, group = word(150), word(100)
+    rows = [(i, " ".join(common + word(70))) for i in range(80)]
+    for i in range(80, 110):
+        w = list(group)
+        w[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    dealt, before = [], simhash._dealt
+    counted = lambda texts, *a, **b: dealt.append(texts.count() if "tree" in texts.columns else None) or before(texts, *a, **b)
+    monkeypatch.setattr(simhash, "_dealt", counted)
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: min(i, 80) for i in range(110)}
+    assert dealt[0] is None and dealt[1] >= 80 and len(dealt) >= 3 and max(dealt[2:]) == 0
+
+
 def test_wide_fingerprints_are_simhashes():
     rng = np.random.default_rng(21)
     for common, x, y in ((4, 1, 0), (12, 2, 1), (40, 5, 5), (400, 100, 0)):
