@@ -100,6 +100,23 @@ def test_statistics(spark):
     assert table_statistics(df.limit(0))[0] == 0 and storage_bytes(df) > 0
 
 
+def test_statistics_of_a_small_file_with_many_rows(spark, tmp_path):
+    """One task reads the file, but none holds all of its rows."""
+    n, folder = 600_000, str(tmp_path / "t")
+    spark.range(0, n, 1, 1).selectExpr("id AS i", "nullif(concat('name ', id % 1000), 'name 7') AS s", "id % 50 AS k", "id % 3 / 2D AS d").write.parquet(folder)
+    store = spark._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup(folder, "")
+    rows = {r["column_name"]: tuple(r)[1:] for r in statistics_frame(spark.read.parquet(folder)).collect()}
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [store.taskList(s, 0, 10_000) for j in tracker.getJobIdsForGroup(folder) for s in tracker.getJobInfo(j).stageIds]
+    held = [t.apply(i).taskMetrics().get().peakExecutionMemory() for t in tasks for i in range(t.size())]
+    assert rows["i"] == (n, "0", str(n - 1), n, 0, 8.0) and rows["k"] == (n, "0", "49", 50, 0, 8.0) and rows["d"] == (n, "0.0", "1.0", 3, 0, 8.0)
+    assert rows["s"] == (n, "name 0", "name 999", 999, n // 1000, pytest.approx((9 * 6 + 90 * 7 + 900 * 8) / 999))
+    assert held and max(held) < 150e6
+
+
 def test_generator(spark):
     cat = Catalog(spark)
     cat.add("laps", laps(spark, 500, seed=3))
